@@ -1,3 +1,4 @@
-from lumenpage.sources.tables import read_table, stage
+from lumenpage.sources.shipping import ship_package
+from lumenpage.sources.tables import read_table, shared_dir, stage
 
-__all__ = ["read_table", "stage"]
+__all__ = ["read_table", "shared_dir", "ship_package", "stage"]
