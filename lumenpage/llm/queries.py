@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenpage.llm import site_lines, tokens
+from lumenpage.llm import packing, pieces, site_lines, tokens
 from lumenpage.sources import read_table
 
 
@@ -26,7 +26,18 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").select(F.col("doc_id").cast("bigint"), "ids")
 
 
-QUERIES = {"p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids}
+def p8_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents, or part of one over the capacity, with its container."""
+    sizes = packing.item_sizes(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return packing.pack(packing.as_items(sizes, "doc_id", packing.CAPACITY, packing.LOSS), "doc_id")
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents as ordered pieces within the limit."""
+    return pieces.cut_pieces(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = {"p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_bins": p8_bins, "p9_pieces": p9_pieces}
 
 HOST_SQL = r"nullif(regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:\s]*)', 1), '\.$', ''), '^www\.', ''), '')"
 LINE_SQL = r"regexp_replace(trim(regexp_replace(lower(line), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')), '[0-9]+', '0', 'g')"

@@ -2,9 +2,9 @@
 
 Words are the pieces of the tokenizer's own splitting pattern; merges never cross them. Pass 1 counts
 words in each partition and adds the counts up; each distinct word is encoded once. Pass 2 splits
-again and puts ids in place: the HEAD most frequent words come from a broadcast table of that fixed
-size, the others are joined back by (word) and (document, position). No word of the shuffled rest is
-more frequent than the HEAD-th, so that join has no hot key. Ids travel as two or four bytes each.
+again and puts ids in place: the most frequent words, HEAD at most, come from a broadcast table, the
+others are joined back by (word) and (document, position). No word of the shuffled rest is as
+frequent as one of the table, so that join has no hot key. Ids travel as two or four bytes each.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import re
 import sys
+import unicodedata
 from collections import Counter
 from functools import lru_cache
 from itertools import chain
@@ -30,8 +31,15 @@ FLUSH = 400_000  # distinct words a worker holds before it passes on its counts
 
 # Fixed value: the splitting pattern published with the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# The same on texts that are all ASCII, for the faster matcher.
+# The same for the standard library's faster matcher: on texts that are all ASCII, and on texts without the characters
+# that it classifies otherwise (numbers that are no digits; information separators, which it takes for white space).
 ASCII_PATTERN = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+""", re.ASCII)
+WORD_PATTERN = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
+
+
+@lru_cache(maxsize=1)
+def _odd_characters() -> frozenset[str]:
+    return frozenset("\x1c\x1d\x1e\x1f").union(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
 
 
 @lru_cache(maxsize=4)
@@ -50,14 +58,15 @@ def _unicode_pattern():
     return regex.compile(PATTERN)
 
 
-# White space by Unicode that ASCII matching treats as words: the information separators are the reverse case.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 
 def split_words(text: str) -> list[str]:
     """The words of a text in order; joined they give the text."""
-    if text.isascii() and not _SEPARATORS.search(text):
-        return ASCII_PATTERN.findall(text)
+    if text.isascii():
+        return (_unicode_pattern() if _SEPARATORS.search(text) else ASCII_PATTERN).findall(text)
+    if _odd_characters().isdisjoint(set(text)):
+        return WORD_PATTERN.findall(text)
     return _unicode_pattern().findall(text)
 
 
@@ -90,10 +99,6 @@ def word_table(df: DataFrame, text: str, path: str = TOKENIZERS, name: str = NAM
     return total.mapInArrow(encode, "word string, n bigint, ids array<int>")
 
 
-def _pack(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<i4").tobytes()
-
-
 def encode_corpus(df: DataFrame, rec_id: str, text: str, path: str = TOKENIZERS, name: str = NAME, head: int = HEAD) -> DataFrame:
     """(rec_id, ids): the token ids of every text by the named tokenizer, without special tokens.
 
@@ -104,8 +109,15 @@ def encode_corpus(df: DataFrame, rec_id: str, text: str, path: str = TOKENIZERS,
     ship_package(spark)
     docs = df.select(F.col(rec_id).alias("rec"), F.col(text).alias("t"))
     words = stage(word_table(docs, "t", path, name), "words")
-    top = words.orderBy(F.col("n").desc(), "word").limit(head).collect()  # of fixed size
-    floor = (top[-1].n, top[-1].word) if len(top) == head else None
+    bucket = F.floor(F.log2("n") * 64)  # a count falls into one of at most 4096 buckets
+    sizes = sorted(((r.b, r.n) for r in words.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    kept, least = 0, (sizes[0][0] + 1 if sizes else 0)
+    for b, n in sizes:
+        if kept + n > head:
+            break
+        kept, least = kept + n, b
+    top = words.where(bucket >= least).collect()  # at most `head` words
+    whole_table = not sizes or least == sizes[-1][0]
     known = spark.sparkContext.broadcast({r.word: tuple(r.ids) for r in top})
     del top
 
@@ -158,11 +170,11 @@ def encode_corpus(df: DataFrame, rec_id: str, text: str, path: str = TOKENIZERS,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], ["rec", "ids"])
 
     schema = f"rec {kind}, ids array<int>"
-    if floor is None:  # the whole word table was broadcast
+    if whole_table:  # the whole word table was broadcast
         whole = placed.dropDuplicates(["rec"]).select("rec", "packed", F.expr("cast(null as array<struct<no:int,at:int,ids:array<int>>>)").alias("found"))
         return whole.mapInArrow(finish, schema).withColumnRenamed("rec", rec_id)
     placed = stage(placed, "placed")
-    rest = words.where((F.col("n") < floor[0]) | ((F.col("n") == floor[0]) & (F.col("word") > floor[1]))).select("word", "ids")
+    rest = words.where(bucket < least).select("word", "ids")
     holes = placed.where(F.size("at") > 0).dropDuplicates(["rec"]).select("rec", F.posexplode(F.arrays_zip("at", "missing")).alias("no", "h"))
     found = (
         holes.select("rec", "no", "h.at", F.col("h.missing").alias("word"))
