@@ -102,7 +102,7 @@ def pack(items: DataFrame, rec_id: str, capacity: int = CAPACITY, segments: int
     def packed(rows: DataFrame, level: int) -> DataFrame:
         shards = max(1, -(-rows.count() // shard))
 
-        def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values([rec_id, "part_no"], ignore_index=True)
             sizes = np.stack([pdf.n_tokens, np.ones(len(pdf)), pdf.loss_tokens], axis=1).astype(float)
             number = dot_product_pack(sizes, limits)

@@ -41,10 +41,10 @@ def _takes_over(part: str) -> int:
     return m.start() if m else min(len(part), HALO)
 
 
-def _ranges(text: str):
+def _ranges(text: str, chunk: int):
     """(range number, first character, slice with a halo, length without halo) for each range of a text."""
-    for no, at in enumerate(range(0, max(len(text), 1), RANGE)):
-        yield no, at, text[at : at + RANGE + HALO]
+    for no, at in enumerate(range(0, max(len(text), 1), chunk)):
+        yield no, at, text[at : at + chunk + HALO]
 
 
 class _Lengths(dict):
@@ -98,7 +98,7 @@ def boundaries(chunk: str, lengths: _Lengths, enc) -> tuple[int, np.ndarray, np.
     return total, pos[keep], costs[keep], kinds[keep]
 
 
-def boundary_table(df: DataFrame, rec_id: str, text: str, limit: int, path: str = TOKENIZERS, name: str = NAME) -> DataFrame:
+def boundary_table(df: DataFrame, rec_id: str, text: str, limit: int, path: str = TOKENIZERS, name: str = NAME, chunk: int = RANGE) -> DataFrame:
     """(rec, range_no, cost, pos, cum, kind) of every range; the arrays are left out for a text that is one range within the limit."""
     ship_package(df.sparkSession)
     kind = df.schema[rec_id].dataType.simpleString()
@@ -110,11 +110,11 @@ def boundary_table(df: DataFrame, rec_id: str, text: str, limit: int, path: str
             cols: list[list] = [[] for _ in range(6)]
             for rec, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = t.as_py() or ""
-                for no, at, part in _ranges(t):
+                for no, at, part in _ranges(t, chunk):
                     first = 0 if no == 0 else _takes_over(part)
-                    last = len(part) if at + RANGE >= len(t) else RANGE + _takes_over(part[RANGE:])
+                    last = len(part) if at + chunk >= len(t) else chunk + _takes_over(part[chunk:])
                     cost, pos, cum, kinds = boundaries(part[first:last], lengths, enc)
-                    if len(t) <= RANGE and cost <= limit - RESERVE:
+                    if len(t) <= chunk and cost <= limit - RESERVE:
                         pos = cum = kinds = ()
                     for c, v in zip(cols, (rec, no, cost, pos + (at + first) if len(pos) else [], cum, kinds)):
                         c.append(v)
@@ -144,7 +144,7 @@ def plan_pieces(table: DataFrame, limit: int, overlap: int) -> DataFrame:
     return starts.select("rec", (F.row_number().over(order) - 1).alias("piece_no"), F.col("at").alias("start"), F.lead("at").over(order).alias("until"), "kind")
 
 
-def cut_pieces(df: DataFrame, rec_id: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str = TOKENIZERS, name: str = NAME) -> DataFrame:
+def cut_pieces(df: DataFrame, rec_id: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str = TOKENIZERS, name: str = NAME, chunk: int = RANGE) -> DataFrame:
     """(rec_id, piece_no, part, start_char, end_char, overlap_chars, n_tokens, cut_at, text): every text as ordered pieces of
     at most `limit` tokens, each beginning with the last whole words, at most `overlap` tokens, of the one before.
 
@@ -156,17 +156,17 @@ def cut_pieces(df: DataFrame, rec_id: str, text: str, limit: int = LIMIT, overla
     kind = df.schema[rec_id].dataType.simpleString()
     far = WIDE * limit
     back = 8 * overlap
-    plan = plan_pieces(stage(boundary_table(df, rec_id, text, limit, path, name), "boundaries"), limit, overlap)
-    jobs = plan.groupBy("rec", (F.col("start") / RANGE).cast("int").alias("range_no")).agg(F.sort_array(F.collect_list(F.struct("piece_no", "start", "until", "kind"))).alias("jobs"))
+    plan = plan_pieces(stage(boundary_table(df, rec_id, text, limit, path, name, chunk), "boundaries"), limit, overlap)
+    jobs = plan.groupBy("rec", (F.col("start") / chunk).cast("int").alias("range_no")).agg(F.sort_array(F.collect_list(F.struct("piece_no", "start", "until", "kind"))).alias("jobs"))
 
     def ranges(batches):
         for b in batches:
             cols: list[list] = [[] for _ in range(4)]
             for rec, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = t.as_py() or ""
-                for no, at in enumerate(range(0, max(len(t), 1), RANGE)):
+                for no, at in enumerate(range(0, max(len(t), 1), chunk)):
                     low = max(0, at - back)
-                    for c, v in zip(cols, (rec, no, low, t[low : at + RANGE + far])):
+                    for c, v in zip(cols, (rec, no, low, t[low : at + chunk + far])):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], ["rec", "range_no", "low", "part_text"])
 
