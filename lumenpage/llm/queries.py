@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenpage.llm import packing, pieces, site_lines, tokens
+from lumenpage.llm import near_copies, packing, pieces, site_lines, tokens
 from lumenpage.sources import read_table
 
 
+P2 = {"words": 3, "similarity": 0.5, "least_words": 50}
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id_a, doc_id_b) of every pair of records of 50 words or more whose resemblance is at least 0.5."""
+    docs = read_table(spark, sf_dir, "fx_document").select("doc_id", "title", "text")
+    return near_copies.similar_pairs(docs, "doc_id", "title", "text", **P2).select(F.col("a").cast("bigint").alias("doc_id_a"), F.col("b").cast("bigint").alias("doc_id_b"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of 50 words or more with its class of equal texts and its group, by the general setting: five words, 0.8."""
+    docs = read_table(spark, sf_dir, "fx_document").select("doc_id", "title", "text")
+    return near_copies.similar_groups(docs, "doc_id", "title", "text", least_words=50)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no) of every occurrence of a line repeated within its host."""
     docs = read_table(spark, sf_dir, "fx_document").select("doc_id", "text", "url", "published")
@@ -37,7 +52,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.cut_pieces(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {"p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_bins": p8_bins, "p9_pieces": p9_pieces}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_bins": p8_bins, "p9_pieces": p9_pieces}
 
 HOST_SQL = r"nullif(regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:\s]*)', 1), '\.$', ''), '^www\.', ''), '')"
 LINE_SQL = r"regexp_replace(trim(regexp_replace(lower(line), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')), '[0-9]+', '0', 'g')"
@@ -51,6 +66,11 @@ often AS (SELECT f.host, k FROM folded f JOIN sizes s ON f.host = s.host WHERE k
 """
 
 SQL = {
+    "p2_found": r"""WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM fx_document),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d WHERE len(w) >= 50),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL)
+SELECT a AS doc_id_a, b AS doc_id_b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE k >= 0.5 * (p.n + q.n - k)""",
     "p6_found": f"WITH {LINES_SQL} SELECT DISTINCT doc_id, CAST(line_no AS BIGINT) AS line_no FROM folded f JOIN often o ON f.host = o.host AND f.k = o.k",
     "p6_clean": f"""WITH {LINES_SQL},
 kept AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_no) AS t FROM folded f WHERE NOT EXISTS (SELECT 1 FROM often o WHERE o.host = f.host AND o.k = f.k) GROUP BY doc_id)
