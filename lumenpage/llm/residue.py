@@ -24,8 +24,9 @@ from lumenpage.functions.urls import site_host
 from lumenpage.sources import ship_package, stage
 
 MARKED, UNMARKED = 6_000, 36_000  # the most units of each label that a fit uses
+SAMPLE = 8
 BITS = 18
-MARGIN = 3.0  # log-odds
+MARGIN = 4.0  # log-odds
 L2 = 2e-6
 
 # Placeholder spellings of template languages, mail tools and format strings.
@@ -58,7 +59,7 @@ PHRASES = re.compile(
     |page\ not\ found\.|^\W*\d*\W*page\ not\ found|404\ -|address\ you\ typed|can't\ find\ what\ you|requested\ url|was\ not\ found\ on\ this\ server|page\ (isn't|is\ not|is\ no\ longer)\ available|no\ longer\ exists
     |access\ denied\.|do\ not\ have\ permission|service\ (temporarily\ )?unavailable$|temporarily\ unavailable|internal\ server\ error|bad\ gateway|gateway\ time-?out|too\ many\ requests\.|database\ connection
     |something\ went\ wrong\ on|^oops|down\ for\ maintenance|back\ shortly|request\ could\ not\ be\ completed|could\ not\ be\ completed\.\ incident|slow\ down\ and\ reload|^\s*(4\d\d|5\d\d)\s+(forbidden|unauthorized|gone|not\ found)
-    |traceback\ \(most|fatal\ error|uncaught\ \w*(error|exception)|undefined\ (array\ key|index|variable|offset)|exception\ in\ thread|stack\ trace:|null\ ?pointer|segmentation\ fault|at\ [\w.$]+\([\w.]+:\d+\)|on\ line\ \d+|syntax\ error,|line\ \d+,\ in\ |\w+(error|exception):\ 
+    |traceback\ \(most|fatal\ error|uncaught\ \w*(error|exception)|undefined\ (array\ key|index|variable|offset)|exception\ in\ thread|stack\ trace:|null\ ?pointer|segmentation\ fault|at\ [\w.$]+\([\w.]+:\d+\)|on\ line\ \d+|syntax\ error,|line\ \d+,\ in\ |(error|exception):\ 
     |(please\ )?(enable|turn\ on|activate|allow)\ (javascript|js|scripts?|scripting)\ (to|in|for|on\ your)|javascript\ is\ (disabled|required|not\ enabled|turned\ off)|requires?\ javascript\.|necessary\ to\ enable|javascript\ is\ allowed|not\ support\ (scripting|javascript)|scripts\ in\ your\ browser|need\ to\ turn\ on|lists\ cannot\ load
     |seite\ nicht\ gefunden|nicht\ gefunden\ \(|serverfehler|zugriff\ verweigert|javascript\ in\ ihrem|bitte\ aktivieren|nicht\ verf(ü|ue)gbar\.|wartungsarbeiten
     |page\ est\ introuvable|page\ introuvable|erreur\ \d{3}|acc(è|e)s\ refus(é|e)|momentan(é|e)ment|veuillez\ activer|activer\ javascript
@@ -76,6 +77,16 @@ ABOUT = re.compile(
 )
 NOTE = re.compile(r"^(HTTP \d{3}$|timed out after \d|DNS lookup|TLS handshake|blocked \(HTTP|unsupported content type|redirect limit|page larger than \d|too little readable)", re.I)
 
+# A text without any of these, in lower case, holds none of the phrases above.
+KEYS = (
+    "lorem|asdf|xxxx|goes here|your text|your content|your headline|your title|click edit|dummy|placeholder|filler|this is sample|sample text|this section|replace this|to follow|insert |text block"
+    "|before launch|not meant to|todo:|fixme|construction|coming soon|not found|404 -|address you typed|what you|requested url|available|no longer|access denied|permission|unavailable|server error"
+    "|bad gateway|time-out|timeout|too many|database|went wrong|oops|maintenance|back shortly|be completed|reload|forbidden|unauthorized|traceback|fatal|uncaught|undefined|exception|stack trace|null"
+    "|segmentation|on line|syntax error|line |error:|javascript| js|scripts|scripting|cannot load|nicht|fehler|zugriff|aktivieren|wartung|introuvable|erreur|refus|momentan|activer|encontr|no existe"
+    "|denegado|error interno|producido|inesperado|acesso|erro|indispon|не найдена|доступ|ошибка|включите|сервис|σελίδα δεν|ενεργοποιήστε|σφάλμα|πρόσβαση|παρουσιάστηκε|見つかりません|アクセス|エラー|メンテナンス"
+    "|none none|by none|by nan|from none|from nan|to none|to nan|hello none|dear none|rated none|rated nan|nan per|nan out|since nan|takes nan|[object|nil|gone"
+).split("|")
+
 SPLIT = re.compile(r"\n+|(?<=[.!?。！？])\s+(?=\S)|(?<=[。！？])| ; ")
 TOKEN = re.compile(r"§\w+|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]")
 
@@ -99,12 +110,18 @@ def tokens(unit: str) -> list[str]:
 
 def weak_label(field: str, unit: str) -> int:
     """1 for a marked unit, 0 for an unmarked one."""
-    if ABOUT.search(unit) or (field == "e" and NOTE.search(unit) and not SHAPE.search(unit)):
+    if not may_hold(unit) or ABOUT.search(unit) or (field == "e" and NOTE.search(unit) and not SHAPE.search(unit)):
         return 0
     s = SHAPE.search(unit) if SHAPE_HINT.search(unit) else None
     return int(bool((s and s.lastgroup not in ("entity",)) or PHRASES.search(unit) or NOTHING.search(unit)))
 
 
+def may_hold(text: str) -> bool:
+    """False only if no unit of the text can be marked."""
+    low = text.lower()
+    return any(k in low for k in KEYS) or bool(SHAPE_HINT.search(text) and SHAPE.search(text))
+
+
 def features(field: str, toks: list[str]) -> list[int]:
     n = len(toks)
     names = [f"f={field}", f"n={min(n, 40) // 4}", f"{field}n={min(n, 40) // 8}", *toks, *(f"{a} {b}" for a, b in zip(["^", *toks], [*toks, "$"]))]
@@ -166,27 +183,33 @@ def fit(labelled: list[tuple[str, str, int]], steps: int = 250) -> Model:
 
 
 def labelled_units(df: DataFrame, title: str, text: str, error: str, ok: str, url: str) -> DataFrame:
-    """(field, unit, label, host, draw): every marked unit, and the unmarked ones whose draw is below 1/4; each spelling once a host."""
+    """(field, unit, label, host): every marked unit, the unmarked ones that discuss residue, and all unmarked ones of one record in
+    SAMPLE, drawn by hash; each spelling once a host."""
     ship_package(df.sparkSession)
 
     def label(batches):
         for b in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(4)]
             for t, x, e, good, host in zip(*(b.column(i).to_pylist() for i in range(5))):
+                drawn = xxhash.xxh32_intdigest(f"{host} {x}") < 2**32 // SAMPLE
+                short = good is False and x and len(x) < 240
+                if not (drawn or short or any(may_hold(v) for v in (t, e, x) if v)):
+                    continue
                 us = units(t, e, x)
                 failed = None
-                if good is False and x and len(x) < 240 and not (e and e.strip()):
+                if short and not (e and e.strip()):
                     failed = max((u for f, u in us if f == "x"), key=len, default=None)
                 for f, u in us:
-                    draw = xxhash.xxh32_intdigest(f"{f} {host} {u}") / 2**32
+                    if not (drawn or short or may_hold(u)):
+                        continue
                     mark = weak_label(f, u) or 2 * int(u is failed and not ABOUT.search(u))
-                    if mark or draw < 1 / 4 or ABOUT.search(u):
-                        for c, v in zip(out, (f, u[:600], mark, host, draw)):
+                    if mark or drawn or ABOUT.search(u):
+                        for c, v in zip(out, (f, u[:600], mark, host)):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64()))], ["field", "unit", "label", "host", "draw"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.string()))], ["field", "unit", "label", "host"])
 
     cols = df.select(F.col(title).alias("t"), F.col(text).alias("x"), F.col(error).alias("e"), F.col(ok).alias("g"), F.coalesce(site_host(F.col(url)), F.lit("")).alias("h"))
-    rows = cols.mapInArrow(label, "field string, unit string, label int, host string, draw double").dropDuplicates(["field", "unit", "label", "host"])
+    rows = cols.mapInArrow(label, "field string, unit string, label int, host string").dropDuplicates(["field", "unit", "label", "host"])
     folded = F.regexp_replace(F.lower("unit"), "[0-9]+", "0")
     shared = rows.where("label = 2").groupBy(folded.alias("__u")).agg(F.count_distinct("host").alias("n")).where("n >= 2").select("__u")
     failed = rows.where("label = 2").join(shared, folded == shared["__u"], "left_semi").withColumn("label", F.lit(1))
