@@ -24,7 +24,8 @@ from lumenpage.functions.urls import site_host
 from lumenpage.sources import ship_package, stage
 
 MARKED, UNMARKED = 6_000, 36_000  # the most units of each label that a fit uses
-SAMPLE = 8
+SAMPLE = 16
+CUE = 6  # how many times more often a cue is in marked units than in others
 BITS = 18
 MARGIN = 4.0  # log-odds
 L2 = 2e-6
@@ -49,7 +50,7 @@ SHAPES = [
     ("entity", r"&(?:nbsp|amp|quot|lt|gt);?"),
 ]
 SHAPE = re.compile("|".join(f"(?P<{n}>{p})" for n, p in SHAPES))
-SHAPE_HINT = re.compile(r"[{}\[<%*&@_#~]")
+SHAPE_HINT = re.compile(r"[{\[<&@_~]|%[A-Za-z({]|#[#{]|\*\|")
 
 # Phrases of filler, error pages, crash output and script notices, in the languages of the pages.
 PHRASES = re.compile(
@@ -77,15 +78,17 @@ ABOUT = re.compile(
 )
 NOTE = re.compile(r"^(HTTP \d{3}$|timed out after \d|DNS lookup|TLS handshake|blocked \(HTTP|unsupported content type|redirect limit|page larger than \d|too little readable)", re.I)
 
-# A text without any of these, in lower case, holds none of the phrases above.
-KEYS = (
-    "lorem|asdf|xxxx|goes here|your text|your content|your headline|your title|click edit|dummy|placeholder|filler|this is sample|sample text|this section|replace this|to follow|insert |text block"
-    "|before launch|not meant to|todo:|fixme|construction|coming soon|not found|404 -|address you typed|what you|requested url|available|no longer|access denied|permission|unavailable|server error"
-    "|bad gateway|time-out|timeout|too many|database|went wrong|oops|maintenance|back shortly|be completed|reload|forbidden|unauthorized|traceback|fatal|uncaught|undefined|exception|stack trace|null"
-    "|segmentation|on line|syntax error|line |error:|javascript| js|scripts|scripting|cannot load|nicht|fehler|zugriff|aktivieren|wartung|introuvable|erreur|refus|momentan|activer|encontr|no existe"
-    "|denegado|error interno|producido|inesperado|acesso|erro|indispon|не найдена|доступ|ошибка|включите|сервис|σελίδα δεν|ενεργοποιήστε|σφάλμα|πρόσβαση|παρουσιάστηκε|見つかりません|アクセス|エラー|メンテナンス"
-    "|none none|by none|by nan|from none|from nan|to none|to nan|hello none|dear none|rated none|rated nan|nan per|nan out|since nan|takes nan|[object|nil|gone"
-).split("|")
+# Words of which every phrase above holds at least one.
+KEYWORDS = frozenset(
+    """lorem ipsum asdf headline goes here click dummy placeholder filler sample section paragraph replace follow insert block launch meant todo fixme construction coming
+    found leads nowhere address looking find requested available longer exists denied permission unavailable internal gateway requests database wrong oops maintenance shortly completed incident
+    reload forbidden unauthorized gone traceback fatal uncaught undefined exception trace null nullpointer pointer segmentation line syntax error errors javascript js script scripts scripting cannot load
+    gefunden serverfehler verweigert aktivieren wartungsarbeiten verfügbar verfugbar fehler unerwarteter introuvable erreur refusé refuse momentanément momentanement activer
+    encontrada encontrado encontró encontra encontrou existe disponible denegado interno producido inesperado activa active habilita habilite acesso negado erro indisponível indisponivel ativa ative ocorreu
+    найдена доступ ошибка внутренняя включите сервис σελίδα ενεργοποιήστε σφάλμα πρόσβαση παρουσιάστηκε none nan nil object""".split()
+) - {"cannot", "line", "find", "maintenance", "gateway", "replace", "follow", "address", "what"}
+WORDS = re.compile(r"[^\W\d_]+")
+OTHER_KEYS = ("xxxx", "on line ", "404 -", "for maintenance", "bad gateway", "gateway time", "replace this", "to follow", "address you", "見つかりません", "javascriptを", "アクセスが拒否", "エラー", "メンテナンス中")
 
 SPLIT = re.compile(r"\n+|(?<=[.!?。！？])\s+(?=\S)|(?<=[。！？])| ; ")
 TOKEN = re.compile(r"§\w+|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]")
@@ -119,7 +122,7 @@ def weak_label(field: str, unit: str) -> int:
 def may_hold(text: str) -> bool:
     """False only if no unit of the text can be marked."""
     low = text.lower()
-    return any(k in low for k in KEYS) or bool(SHAPE_HINT.search(text) and SHAPE.search(text))
+    return not KEYWORDS.isdisjoint(WORDS.findall(low)) or any(k in low for k in OTHER_KEYS) or bool(SHAPE_HINT.search(text) and SHAPE.search(text))
 
 
 def features(field: str, toks: list[str]) -> list[int]:
@@ -146,7 +149,7 @@ class Model:
     def residue(self, title: str | None, error: str | None, text: str | None) -> bool:
         """Whether some unit scores above the margin."""
         body = text or ""
-        if body and self.cues.isdisjoint(TOKEN.findall(body.lower())) and not SHAPE.search(body):
+        if body and self.cues.isdisjoint(WORDS.findall(body.lower())) and not (SHAPE_HINT.search(body) and SHAPE.search(body)):
             body = ""
         return any(self.score(f, u) > MARGIN for f, u in units(title, error, body))
 
@@ -178,7 +181,7 @@ def fit(labelled: list[tuple[str, str, int]], steps: int = 250) -> Model:
             side = marked if l else plain
             side[x] = side.get(x, 0) + 1
     rate = len(y) / y.sum() - 1
-    cues = frozenset(x for x, n in marked.items() if (len(x) > 1 or x.isalnum()) and n * rate > 2 * plain.get(x, 0))
+    cues = frozenset(x for x, n in marked.items() if WORDS.fullmatch(x) and n * rate > CUE * plain.get(x, 0))
     return Model(weights, float(b), cues | {f"§{n}" for n, _ in SHAPES})
 
 
@@ -209,7 +212,7 @@ def labelled_units(df: DataFrame, title: str, text: str, error: str, ok: str, ur
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.string()))], ["field", "unit", "label", "host"])
 
     cols = df.select(F.col(title).alias("t"), F.col(text).alias("x"), F.col(error).alias("e"), F.col(ok).alias("g"), F.coalesce(site_host(F.col(url)), F.lit("")).alias("h"))
-    rows = cols.mapInArrow(label, "field string, unit string, label int, host string").dropDuplicates(["field", "unit", "label", "host"])
+    rows = stage(cols.mapInArrow(label, "field string, unit string, label int, host string").dropDuplicates(["field", "unit", "label", "host"]), "units")
     folded = F.regexp_replace(F.lower("unit"), "[0-9]+", "0")
     shared = rows.where("label = 2").groupBy(folded.alias("__u")).agg(F.count_distinct("host").alias("n")).where("n >= 2").select("__u")
     failed = rows.where("label = 2").join(shared, folded == shared["__u"], "left_semi").withColumn("label", F.lit(1))
