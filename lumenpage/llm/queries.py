@@ -5,8 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenpage.llm import near_copies, packing, pieces, residue, site_lines, tokens
-from lumenpage.sources import read_table
+from lumenpage.llm import garbled, near_copies, packing, pieces, residue, site_lines, tokens
+from lumenpage.functions.urls import site_host
+from lumenpage.sources import read_table, stage
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, answers = read_table(spark, sf_dir, "fx_document"), read_table(spark, sf_dir, "fx_answer")
+    return docs.select(F.lit("fx_document").alias("tbl"), F.col("doc_id").cast("bigint").alias("rec_id"), site_host(F.col("url")).alias("origin"), "text").unionByName(
+        answers.select(F.lit("fx_answer").alias("tbl"), F.col("answer_id").cast("bigint").alias("rec_id"), F.col("label").alias("origin"), "text")
+    )
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, rec_id) of every record whose text holds a stretch decoded with a wrong encoding."""
+    found = stage(garbled.stretches(_texts(spark, sf_dir), ["tbl", "rec_id"], F.col("origin"), "text"), "found")
+    return garbled.judge(found, ["tbl", "rec_id"], garbled.learn(found))
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, rec_id, restored) of every record whose text changes when its garbled stretches are undone."""
+    texts = _texts(spark, sf_dir)
+    found = stage(garbled.stretches(texts, ["tbl", "rec_id"], F.col("origin"), "text"), "found")
+    model = garbled.learn(found)
+    bad = garbled.judge(found, ["tbl", "rec_id"], model)
+    wanted = texts.join(bad, ["tbl", "rec_id"], "left_semi").dropDuplicates(["tbl", "rec_id"])
+    return garbled.restore(wanted, ["tbl", "rec_id"], "text", model)
 
 
 P2 = {"words": 3, "similarity": 0.5, "least_words": 50}
@@ -58,7 +82,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.cut_pieces(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_bins": p8_bins, "p9_pieces": p9_pieces}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_bins": p8_bins, "p9_pieces": p9_pieces}
 
 HOST_SQL = r"nullif(regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:\s]*)', 1), '\.$', ''), '^www\.', ''), '')"
 LINE_SQL = r"regexp_replace(trim(regexp_replace(lower(line), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')), '[0-9]+', '0', 'g')"
