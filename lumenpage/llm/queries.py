@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenpage.llm import garbled, near_copies, packing, pieces, residue, site_lines, tokens
+from lumenpage.llm import boilerplate, garbled, near_copies, packing, pieces, residue, site_lines, tokens
 from lumenpage.functions.urls import site_host
 from lumenpage.sources import read_table, stage
 
@@ -54,6 +54,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(docs, "doc_id", residue.fit_model(docs)).select(F.col("doc_id").cast("bigint"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pos) of every block outside its page's main body."""
+    blocks, docs = read_table(spark, sf_dir, "fx_block"), read_table(spark, sf_dir, "fx_document")
+    return boilerplate.find_furniture(blocks, docs.select("doc_id", "url")).select(F.col("doc_id").cast("bigint"), F.col("pos").cast("bigint"))
+
+
+def p5_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, main_text) of every page."""
+    blocks, docs = read_table(spark, sf_dir, "fx_block"), read_table(spark, sf_dir, "fx_document")
+    return boilerplate.main_text(blocks, boilerplate.find_furniture(blocks, docs.select("doc_id", "url")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no) of every occurrence of a line repeated within its host."""
     docs = read_table(spark, sf_dir, "fx_document").select("doc_id", "text", "url", "published")
@@ -82,7 +94,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.cut_pieces(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_bins": p8_bins, "p9_pieces": p9_pieces}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p5_main": p5_main, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_bins": p8_bins, "p9_pieces": p9_pieces}
 
 HOST_SQL = r"nullif(regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:\s]*)', 1), '\.$', ''), '^www\.', ''), '')"
 LINE_SQL = r"regexp_replace(trim(regexp_replace(lower(line), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')), '[0-9]+', '0', 'g')"
