@@ -19,3 +19,5 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found}
+
+SQL: dict[str, str] = {}
