@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lumenpage.functions import text
 from lumenpage.sources import read_table
 
-PAGE = Window.partitionBy("doc_id").orderBy("pos")
+def page():
+    """A page's blocks in order."""
+    return Window.partitionBy("doc_id").orderBy("pos")
 
 
 def block_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def pasted_blocks(df: DataFrame, rec_id: str, body: str) -> DataFrame:
 def sections(blocks: DataFrame) -> DataFrame:
     """(doc_id, section_id, heading, level, paragraphs, lists): text between headings; the part before the first has heading '' and level 0.
     Tables don't count; sections without paragraph and list are dropped."""
-    n = F.sum(F.when(F.col("type") == "heading", 1).otherwise(0)).over(PAGE)
+    n = F.sum(F.when(F.col("type") == "heading", 1).otherwise(0)).over(page())
     marked = blocks.withColumn("section_id", n)
     pick = lambda t: F.transform(F.sort_array(F.collect_list(F.when(F.col("type") == t, F.struct("pos", "text")))), lambda x: x["text"])
     grouped = marked.groupBy("doc_id", "section_id").agg(
@@ -53,5 +55,5 @@ def sections(blocks: DataFrame) -> DataFrame:
 
 def passages(blocks: DataFrame, min_words: int = 8) -> DataFrame:
     """(doc_id, pos, heading, type, text) of paragraphs, lists and tables of at least min_words words between blanks, with the last heading before."""
-    heading = F.coalesce(F.last(F.when(F.col("type") == "heading", F.col("text")), ignorenulls=True).over(PAGE), F.lit(""))
+    heading = F.coalesce(F.last(F.when(F.col("type") == "heading", F.col("text")), ignorenulls=True).over(page()), F.lit(""))
     return blocks.withColumn("heading", heading).where((F.col("type") != "heading") & (F.size(text.blank_words(F.col("text"))) >= min_words)).select("doc_id", "pos", "heading", "type", "text")

@@ -87,7 +87,7 @@ SQL["t17_median_paragraph"] = f"WITH {BLOCKS} SELECT doc_id, list_sort(list({WOR
 
 def _outline(b: DataFrame) -> DataFrame:
     h = b.where("type = 'heading'")
-    jump = F.col("level") - F.lag("level").over(B.PAGE)
+    jump = F.col("level") - F.lag("level").over(B.page())
     n = text.word_count(F.col("text"))
     return h.withColumns({"jump": jump, "n": n}).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("headings"), F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).alias("h1"), F.sum(F.when(F.col("jump") > 1, 1).otherwise(0)).alias("skips"),
@@ -214,7 +214,7 @@ SELECT doc_id, count(*) AS questions, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) A
 def _opening(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The opening paragraphs of every page, up to the one that completes 150 words, and its project's query."""
     b = B.block_table(spark, sf_dir).where("type = 'p'").withColumn("n", text.word_count(F.col("text"))).where("n >= 8")
-    before = F.coalesce(F.sum("n").over(B.PAGE.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n").over(B.page().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     window = b.withColumn("before", before).where("before < 150").select("doc_id", "pos", "n", "text")
     docs = documents(spark, sf_dir, "project_id").join(primary_queries(spark, sf_dir), "project_id").select("doc_id", F.lit(0).alias("probe"), F.col("query").alias("text"))
     return window, docs.join(window.select("doc_id").distinct(), "doc_id", "left_semi")

@@ -1,4 +1,4 @@
-"""Queries of the text, URL, query and tagging functions over whole tables."""
+"""Queries of the text, F.col("url"), query and tagging functions over whole tables."""
 
 from __future__ import annotations
 
@@ -18,80 +18,79 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def over_documents(name: str, columns: dict[str, Column], sql: dict[str, str] | None) -> None:
+def over_documents(name: str, columns: Callable[[], dict[str, Column]], sql: dict[str, str] | None) -> None:
     """Register a query of expressions over every document record. Only results are shuffled to fold repeated rows."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = read_table(spark, sf_dir, "fx_document")
-        return d.select(F.col("doc_id"), *[c.alias(k) for k, c in columns.items()]).dropDuplicates(["doc_id"])
+        return d.select(F.col("doc_id"), *[c.alias(k) for k, c in columns().items()]).dropDuplicates(["doc_id"])
 
     QUERIES[name] = run
     if sql:
         SQL[name] = f"SELECT DISTINCT doc_id, {', '.join(f'{v} AS {k}' for k, v in sql.items())} FROM fx_document"
 
 
-def over_queries(name: str, columns: dict[str, Column], sql: dict[str, str] | None) -> None:
+def over_queries(name: str, columns: Callable[[], dict[str, Column]], sql: dict[str, str] | None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return read_table(spark, sf_dir, "fx_query").select("query_id", *[c.alias(k) for k, c in columns.items()]).distinct()
+        return read_table(spark, sf_dir, "fx_query").select("query_id", *[c.alias(k) for k, c in columns().items()]).distinct()
 
     QUERIES[name] = run
     if sql:
         SQL[name] = f"SELECT DISTINCT query_id, {', '.join(f'{v} AS {k}' for k, v in sql.items())} FROM fx_query"
 
 
-T, TITLE, URL = F.col("text"), F.col("title"), F.col("url")
 joined = lambda c: F.md5(F.array_join(c, "\n"))
 sjoined = lambda x: f"md5(array_to_string({x}, chr(10)))"
 n = lambda c: F.size(c).cast("bigint")
 
-over_documents("t1_normalize_ws", {"norm": F.md5(text.normalize_ws(T)), "chars": F.length(text.normalize_ws(T)).cast("bigint")}, {"norm": f"md5({S.ws('text')})", "chars": f"length({S.ws('text')})"})
-over_documents("t2_sentences", {"sentences": n(text.sentences(T)), "digest": joined(text.sentences(T))}, {"sentences": f"len({S.sentences('text')})", "digest": sjoined(S.sentences("text"))})
-over_documents("t3_tokens", {"words": text.word_count(T).cast("bigint"), "digest": joined(text.tokens(T))}, {"words": f"len({S.tokens('text')})", "digest": sjoined(S.tokens("text"))})
+over_documents("t1_normalize_ws", lambda: {"norm": F.md5(text.normalize_ws(F.col("text"))), "chars": F.length(text.normalize_ws(F.col("text"))).cast("bigint")}, {"norm": f"md5({S.ws('text')})", "chars": f"length({S.ws('text')})"})
+over_documents("t2_sentences", lambda: {"sentences": n(text.sentences(F.col("text"))), "digest": joined(text.sentences(F.col("text")))}, {"sentences": f"len({S.sentences('text')})", "digest": sjoined(S.sentences("text"))})
+over_documents("t3_tokens", lambda: {"words": text.word_count(F.col("text")).cast("bigint"), "digest": joined(text.tokens(F.col("text")))}, {"words": f"len({S.tokens('text')})", "digest": sjoined(S.tokens("text"))})
 over_documents(
     "t4_blank_words",
-    {"words": n(text.blank_words(T)), "first100": joined(F.slice(text.blank_words(T), 1, 100))},
+    lambda: {"words": n(text.blank_words(F.col("text"))), "first100": joined(F.slice(text.blank_words(F.col("text")), 1, 100))},
     {"words": f"CASE WHEN {S.ws('text')} = '' THEN 0 ELSE len(string_split({S.ws('text')}, ' ')) END", "first100": f"md5(CASE WHEN {S.ws('text')} = '' THEN '' ELSE array_to_string(string_split({S.ws('text')}, ' ')[1:100], chr(10)) END)"},
 )
-over_documents("t5_content_terms", {"terms": n(text.content_terms(T)), "digest": joined(text.content_terms(T))}, {"terms": f"len({S.terms('text')})", "digest": sjoined(S.terms("text"))})
-over_documents("t7_stem_set", {"stems": n(text.stem_set(T)), "digest": joined(F.sort_array(text.stem_set(T)))}, {"stems": f"len({S.stems('text')})", "digest": sjoined(f"list_sort({S.stems('text')})")})
+over_documents("t5_content_terms", lambda: {"terms": n(text.content_terms(F.col("text"))), "digest": joined(text.content_terms(F.col("text")))}, {"terms": f"len({S.terms('text')})", "digest": sjoined(S.terms("text"))})
+over_documents("t7_stem_set", lambda: {"stems": n(text.stem_set(F.col("text"))), "digest": joined(F.sort_array(text.stem_set(F.col("text"))))}, {"stems": f"len({S.stems('text')})", "digest": sjoined(f"list_sort({S.stems('text')})")})
 over_documents(
     "t8_truncate",
-    {"short": text.truncate(TITLE, 30)},
+    lambda: {"short": text.truncate(F.col("title"), 30)},
     {"short": f"CASE WHEN length({S.ws('title')}) <= 30 THEN {S.ws('title')} ELSE rtrim(left({S.ws('title')}, 27)) || '...' END"},
 )
 _at = "instr(coalesce(text, ''), 'costs')"
 _low, _high = f"greatest({_at} - 1 - 140, 0)", f"least({_at} - 1 + 5 + 140, length(text))"
 over_documents(
     "t9_snippet",
-    {"snippet": text.snippet_around(T, F.lit("costs"))},
+    lambda: {"snippet": text.snippet_around(F.col("text"), F.lit("costs"))},
     {"snippet": f"CASE WHEN {_at} > 0 THEN CASE WHEN {_low} > 0 THEN '...' ELSE '' END || {S.ws(f'substring(text, {_low} + 1, {_high} - {_low})')} || CASE WHEN {_high} < length(text) THEN '...' ELSE '' END END"},
 )
 _ui = "coalesce(text, '')"
 for _a, _b in text.UI_MARKS.items():
     _ui = f"replace({_ui}, '{_a}', '{_b}')"
-over_documents("t10_ui_clean", {"digest": F.md5(text.ui_clean(T))}, {"digest": f"md5({_ui})"})
+over_documents("t10_ui_clean", lambda: {"digest": F.md5(text.ui_clean(F.col("text")))}, {"digest": f"md5({_ui})"})
 over_documents(
-    "t12_slugify", {"slug": text.slugify(TITLE)}, {"slug": "coalesce(nullif(left(regexp_replace(regexp_replace(coalesce(title, ''), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 50), ''), 'entity')"}
+    "t12_slugify", lambda: {"slug": text.slugify(F.col("title"))}, {"slug": "coalesce(nullif(left(regexp_replace(regexp_replace(coalesce(title, ''), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 50), ''), 'entity')"}
 )
-over_documents("t13_stable_hash", {"digest": F.sha1(F.concat(text.text_or_empty(TITLE), F.lit("\x01"), text.text_or_empty(URL), F.lit("\x01")))}, {"digest": "sha1(coalesce(title, '') || chr(1) || coalesce(url, '') || chr(1))"})
-_fill = sum((text.phrase_count(T, p) for p in L.FILLER_PHRASES[1:]), text.phrase_count(T, L.FILLER_PHRASES[0]))
+over_documents("t13_stable_hash", lambda: {"digest": F.sha1(F.concat(text.text_or_empty(F.col("title")), F.lit("\x01"), text.text_or_empty(F.col("url")), F.lit("\x01")))}, {"digest": "sha1(coalesce(title, '') || chr(1) || coalesce(url, '') || chr(1))"})
+_fill = lambda: sum((text.phrase_count(F.col("text"), p) for p in L.FILLER_PHRASES[1:]), text.phrase_count(F.col("text"), L.FILLER_PHRASES[0]))
 _sfill = " + ".join(f"(length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), {S.q(p)}, ''))) // {len(p)}" for p in L.FILLER_PHRASES)
-over_documents("t14_phrase_counts", {"fillers": _fill.cast("bigint")}, {"fillers": f"CAST({_sfill} AS BIGINT)"})
+over_documents("t14_phrase_counts", lambda: {"fillers": _fill().cast("bigint")}, {"fillers": f"CAST({_sfill} AS BIGINT)"})
 _t1000 = f"({S.terms('text')})[1:1000]"
-over_documents("t15_type_token_ratio", {"ttr": F.round(text.type_token_ratio(T), 6)}, {"ttr": f"CASE WHEN len({_t1000}) > 0 THEN round(len(list_distinct({_t1000})) / len({_t1000}), 6) ELSE 0.0 END"})
-over_documents("t18_keyword_pattern", {"hits": F.regexp_count(text.text_or_empty(T), F.lit(r"(?i)\bprice")).cast("bigint")}, {"hits": r"len(regexp_extract_all(coalesce(text, ''), '(?i)\bprice'))"})
-over_documents("h1_sanitize", {"digest": F.md5(text.sanitize(T))}, {"digest": r"md5(regexp_replace(left(coalesce(text, ''), 200000), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'))"})
+over_documents("t15_type_token_ratio", lambda: {"ttr": F.round(text.type_token_ratio(F.col("text")), 6)}, {"ttr": f"CASE WHEN len({_t1000}) > 0 THEN round(len(list_distinct({_t1000})) / len({_t1000}), 6) ELSE 0.0 END"})
+over_documents("t18_keyword_pattern", lambda: {"hits": F.regexp_count(text.text_or_empty(F.col("text")), F.lit(r"(?i)\bprice")).cast("bigint")}, {"hits": r"len(regexp_extract_all(coalesce(text, ''), '(?i)\bprice'))"})
+over_documents("h1_sanitize", lambda: {"digest": F.md5(text.sanitize(F.col("text")))}, {"digest": r"md5(regexp_replace(left(coalesce(text, ''), 200000), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'))"})
 
-over_documents("u1_normalize_url", {"normal": urls.normalize_url(URL)}, {
+over_documents("u1_normalize_url", lambda: {"normal": urls.normalize_url(F.col("url"))}, {
     "normal": r"""CASE WHEN trim(coalesce(url, '')) = '' THEN '' ELSE lower(regexp_extract(regexp_replace(CASE WHEN regexp_matches(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://') THEN trim(url) ELSE 'https://' || trim(url) END, '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.\-]*)', 1))
  || regexp_replace(regexp_replace(regexp_replace(CASE WHEN regexp_matches(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://') THEN trim(url) ELSE 'https://' || trim(url) END, '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?]+)(\?|$)', '\1/\2'), '^[A-Za-z][A-Za-z0-9+.\-]*', '') END"""
 })
 over_documents(
     "u2_hosts",
-    {"host": urls.hostname(URL), "domain": urls.registrable_domain(URL), "stem": urls.domain_stem(URL)},
+    lambda: {"host": urls.hostname(F.col("url")), "domain": urls.registrable_domain(F.col("url")), "stem": urls.domain_stem(F.col("url"))},
     {"host": S.host("url"), "domain": S.domain("url"), "stem": f"string_split({S.domain('url')}, '.')[1]"},
 )
-over_documents("u8_link_domain", {"domain": urls.link_domain(URL)}, {"domain": r"regexp_replace(lower(string_split(url, '/')[3]), '^www\.', '')"})
+over_documents("u8_link_domain", lambda: {"domain": urls.link_domain(F.col("url"))}, {"domain": r"regexp_replace(lower(string_split(url, '/')[3]), '^www\.', '')"})
 
 
 def _source_sql(url: str, website: str, rivals: str) -> str:
@@ -104,10 +103,10 @@ def _source_sql(url: str, website: str, rivals: str) -> str:
 
 
 def u7_classify_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kind of source of every document, by its URL and its project's sites. Projects are of fixed number, so their side is small."""
+    """Kind of source of every document, by its F.col("url") and its project's sites. Projects are of fixed number, so their side is small."""
     docs = read_table(spark, sf_dir, "fx_document").select("doc_id", "project_id", "url").distinct()
     projects = read_table(spark, sf_dir, "fx_project").select("project_id", "website", F.transform(F.coalesce("competitors", F.expr("array()")), lambda c: c["domain"]).alias("rivals")).distinct()
-    return docs.join(projects, "project_id").select("doc_id", urls.classify_source(URL, F.col("website"), F.col("rivals")).alias("kind"))
+    return docs.join(projects, "project_id").select("doc_id", urls.classify_source(F.col("url"), F.col("website"), F.col("rivals")).alias("kind"))
 
 
 QUERIES["u7_classify_source"] = u7_classify_source
@@ -125,23 +124,23 @@ QUERIES["u6_extract_urls"] = u6_extract_urls
 SQL["u6_extract_urls"] = r"""SELECT DISTINCT answer_id, unnest(list_transform(regexp_extract_all(array_to_string(coalesce(citations, ['']), chr(10)), '(?i:https?)://[^\s<>")\]]+'), lambda u: regexp_replace(u, '[.,;:]+$', ''))) AS url FROM fx_answer"""
 
 _qq, _e = "lower(trim(coalesce(query, '')))", "lower(coalesce(entity, ''))"
-over_queries("q1_intent", {"intent": qf.detect_intent(F.col("query"), F.col("entity"))}, {
+over_queries("q1_intent", lambda: {"intent": qf.detect_intent(F.col("query"), F.col("entity"))}, {
     "intent": f"CASE WHEN {_qq} = '' THEN 'informational' WHEN {_e} <> '' AND regexp_replace(replace({_qq}, {_e}, ''), '^[ \\-:?]+|[ \\-:?]+$', '', 'g') = '' THEN 'navigational'"
     f" WHEN {S.like(_qq, qf.HOWTO)} THEN 'howto' WHEN {S.like(_qq, qf.LOCAL)} THEN 'local' WHEN {S.like(_qq, qf.BUYING)} THEN 'transactional' WHEN {S.like(_qq, qf.WEIGHING)} THEN 'commercial' ELSE 'informational' END"
 })
 _brk = S.strings(sorted({*L.STOPWORDS, *L.INTENT_WORDS}))
 _runs = f"list_filter(list_transform(string_split(array_to_string(list_transform({S.tokens('query')}, lambda w: CASE WHEN list_contains({_brk}, lower(w)) THEN '|' ELSE lower(w) END), ' '), '|'), lambda r: trim(r)), lambda r: r <> '')"
-over_queries("q2_phrases", {"phrases": F.array_join(qf.query_phrases(F.col("query")), "; ")}, {"phrases": f"array_to_string(list_transform({_runs}, lambda r: array_to_string(string_split(r, ' ')[-3:], ' '))[1:3], '; ')"})
+over_queries("q2_phrases", lambda: {"phrases": F.array_join(qf.query_phrases(F.col("query")), "; ")}, {"phrases": f"array_to_string(list_transform({_runs}, lambda r: array_to_string(string_split(r, ' ')[-3:], ' '))[1:3], '; ')"})
 _kept = f"list_filter({S.terms('query')}, lambda w: NOT list_contains({S.strings(L.INTENT_WORDS)}, w))"
 _stem_w, _stem_x = S.stem("w"), S.stem("x")
-over_queries("q3_terms", {"terms": F.array_join(qf.query_terms(F.col("query")), " ")}, {
+over_queries("q3_terms", lambda: {"terms": F.array_join(qf.query_terms(F.col("query")), " ")}, {
     "terms": f"array_to_string(list_filter({_kept}, lambda w, i: list_position(list_transform({_kept}, lambda x: {_stem_x}), {_stem_w}) = i), ' ')"
 })
 
 
 def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document, how many sentences carry each kind of tag."""
-    d = read_table(spark, sf_dir, "fx_document").select("doc_id", text.sentences(T).alias("s"))
+    d = read_table(spark, sf_dir, "fx_document").select("doc_id", text.sentences(F.col("text")).alias("s"))
     count = lambda f: F.size(F.filter("s", f)).cast("bigint")
     fact = lambda k: lambda s: tags.has_fact(s, k)
     cols = {f"fact_{k}": count(fact(k)) for k in L.FACTS}
@@ -165,7 +164,7 @@ SQL["g_tag_counts"] = _tag_sql()
 
 def t16_bigram_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document, the 12 most frequent pairs of neighbouring unequal content terms, those seen twice or more, at most 8; ties by the pair."""
-    d = read_table(spark, sf_dir, "fx_document").select("doc_id", text.content_terms(T).alias("w")).distinct()
+    d = read_table(spark, sf_dir, "fx_document").select("doc_id", text.content_terms(F.col("text")).alias("w")).distinct()
     pairs = F.filter(F.transform(F.arrays_zip(F.slice("w", 1, 1_000_000).alias("a"), F.slice("w", 2, 1_000_000).alias("b")), lambda p: F.when(p["b"].isNotNull() & (p["a"] != p["b"]), F.concat_ws(" ", p["a"], p["b"]))), lambda p: p.isNotNull())
     c = d.select("doc_id", F.explode(pairs).alias("pair")).groupBy("doc_id", "pair").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     from pyspark.sql import Window
