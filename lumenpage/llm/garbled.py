@@ -365,19 +365,34 @@ def restore(df: DataFrame, keys: list[str], text: str, model: Model, out: str =
     def mend(batches):
         m = shared.value
 
-        def one(match: re.Match) -> str:
-            whole = match.group()
-            chunk = whole.strip(EDGE)
-            text = chunk
+        def line(s: str) -> str:
+            if s.isascii():
+                return s
+            chunks = dict.fromkeys(c for w in CHUNK.findall(s) if (c := w.strip(EDGE)))
+            best = {c: m.best(c) for c in chunks}
+            sure = Counter(b[0] for b in best.values() if b and b[1] > ODDS)
+            if not sure:
+                return s
+            habit, many = sure.most_common(1)[0]
+            least = -8.0 if 2 * many > len(chunks) else 0.0  # most of the line went that way
+            done = {}
+            for c, b in best.items():
+                if b and b[1] > ODDS:
+                    done[c] = m.restore(c, b[0])
+                elif m.weigh(c).get(habit, -99.0) > least:  # too short to tell by itself, among stretches that were garbled one way
+                    done[c] = m.restore(c, habit)
+            return CHUNK.sub(lambda x: x.group().replace(c, done[c]) if (c := x.group().strip(EDGE)) in done else x.group(), s)
+
+        def whole(t: str) -> str:
             for _ in range(3):  # a text can be garbled more than once
-                b = m.best(text) if text else None
-                if not b or b[1] <= ODDS or (new := m.restore(text, b[0])) == text:
+                new = "\n".join(map(line, t.split("\n")))
+                if new == t:
                     break
-                text = new
-            return whole.replace(chunk, text) if text != chunk else whole
+                t = new
+            return t
 
         for b in batches:
-            texts = [t if t is None or t.isascii() else CHUNK.sub(one, t) for t in b.column(len(keys)).to_pylist()]
+            texts = [t if t is None or t.isascii() else whole(t) for t in b.column(len(keys)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), pa.array(texts, pa.string())], [*keys, out])
 
     kinds = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys]
