@@ -107,3 +107,83 @@ def o2_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = A.r1_scores(spark, sf_dir)
     show = lambda c: F.coalesce(F.format_string("%.1f", F.col(c)), F.lit("-"))
     return r.select("doc_id", F.concat(F.lit("| "), F.col("doc_id").cast("string"), F.lit(" | "), show("overall"), F.lit(" | "), F.col("band"), F.lit(" |")).alias("line"))
+
+
+@query
+def s7_collected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of every project: all its own pages and pasted ones, and the first 15 external pages by id."""
+    from pyspark.sql import Window
+
+    d = read_table(spark, sf_dir, "fx_document").select("doc_id", "project_id", "kind", "origin").distinct()
+    capped = (F.col("kind") == "external") & (F.coalesce("origin", F.lit("")) == "url")
+    rank = F.row_number().over(Window.partitionBy("project_id", capped).orderBy("doc_id"))
+    return d.withColumn("r", rank).where(~capped | (F.col("r") <= 15)).select("doc_id", "project_id", "kind")
+
+
+SQL["s7_collected_sources"] = """WITH d AS (SELECT DISTINCT doc_id, project_id, kind, kind = 'external' AND coalesce(origin, '') = 'url' AS capped FROM fx_document),
+r AS (SELECT *, row_number() OVER (PARTITION BY project_id, capped ORDER BY doc_id) AS r FROM d) SELECT doc_id, project_id, kind FROM r WHERE NOT capped OR r <= 15"""
+
+
+@query
+def q_all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries of every project, trimmed, each once whatever its case, the main one first."""
+    p = read_table(spark, sf_dir, "fx_project").select("project_id", F.concat(F.array("query"), F.coalesce("extra_queries", F.array().cast("array<string>"))).alias("qs")).distinct()
+    x = p.select("project_id", F.posexplode("qs").alias("pos", "q")).withColumn("q", F.trim("q")).where(F.coalesce("q", F.lit("")) != "")
+    first = x.groupBy("project_id", F.lower("q").alias("k")).agg(F.min(F.struct("pos", "q")).alias("m"))
+    return first.select("project_id", F.col("m.q").alias("query"), F.col("m.pos").cast("bigint").alias("pos"))
+
+
+SQL["q_all_queries"] = """WITH p AS (SELECT DISTINCT project_id, list_concat([query], coalesce(extra_queries, [])) AS qs FROM fx_project), x AS (SELECT project_id, trim(unnest(qs)) AS q, generate_subscripts(qs, 1) - 1 AS pos FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY project_id, lower(q) ORDER BY pos) AS k FROM x WHERE coalesce(q, '') <> '') SELECT project_id, q AS query, pos FROM r WHERE k = 1"""
+
+
+# Schema types that describe a page, and those that describe an entity.
+PAGE_TYPES = "Organization Corporation LocalBusiness Product SoftwareApplication Service Article NewsArticle BlogPosting FAQPage HowTo WebPage WebSite BreadcrumbList Review AggregateRating Person Brand ItemList Offer QAPage".split()
+ENTITY_TYPES = "Organization Corporation LocalBusiness Brand Product SoftwareApplication Service".split()
+
+
+def structured_data(docs: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, score) of parsed pages: JSON-LD, its types, whether it names the entity, and page metadata. `pattern` names the entity's pattern column."""
+    nodes = F.transform("jsonld", lambda j: F.struct(F.get_json_object(j, "$.@type").alias("type"), F.coalesce(F.get_json_object(j, "$.name"), F.lit("")).alias("name"), F.get_json_object(j, "$.sameAs").alias("same")))
+    d = docs.withColumn("nodes", nodes)
+    entity = F.filter("nodes", lambda n: F.exists(F.array(*map(F.lit, ENTITY_TYPES)), lambda t: F.contains(F.coalesce(n["type"], F.lit("")), t)))
+    named = F.exists(entity, lambda n: F.coalesce(F.rlike(n["name"], F.col(pattern)), F.lit(False)))
+    related = F.size(F.array_intersect("schema_types", F.array(*map(F.lit, PAGE_TYPES))))
+    pts = lambda cond, n: F.when(cond, float(n)).otherwise(0.0)
+    span = lambda c, low, high: F.when(F.length(c).between(low, high), 10.0).when(F.length(c) > 0, 5.0).otherwise(0.0)
+    score = pts(F.size("jsonld") > 0, 25) + 20 * F.least(F.lit(1.0), related / 3) + F.when(named, 10.0).when(F.size(entity) > 0, 5.0).otherwise(0.0) + pts(F.exists("nodes", lambda n: n["same"].isNotNull()), 5)
+    score = score + span(F.col("description"), 70, 170) + span(F.col("title"), 20, 70) + pts(F.length("canonical") > 0, 5) + pts((F.length("og_title") > 0) & (F.length("og_description") > 0), 5)
+    score = score + pts(F.exists("blocks", lambda b: b["type"].isin("list", "table")), 5) + pts((F.length("published") > 0) | (F.length("modified") > 0), 5)
+    return d.select("doc_id", F.round(score, 4).alias("score"))
+
+
+@query
+def v5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the embeddings by k-means, k the number of labels. Labels of clusters have no fixed meaning."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features")).dropDuplicates(["vec_id"])
+    return KMeans(k=10, seed=0, maxIter=20).fit(e).transform(e).select("vec_id", F.col("prediction").alias("cluster"))
+
+
+@query
+def k6_action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak metrics of every page by horizon, in order of priority."""
+    dims = spark.createDataFrame([(i, k, e) for i, (k, _, _, _, e) in W.METRICS.items()], "metric_id int, key string, effort int")
+    x = k1_priorities(spark, sf_dir).join(F.broadcast(dims), "metric_id")
+    horizon = F.when((F.col("effort") == 1) & (F.col("priority") >= 0.55), "immediate").when(F.col("effort") == 3, "strategic").otherwise("near_term")
+    rows = x.select("doc_id", horizon.alias("horizon"), F.struct((-F.col("priority")).alias("p"), "metric_id", "key").alias("m"))
+    return rows.groupBy("doc_id", "horizon").agg(F.array_join(F.transform(F.sort_array(F.collect_list("m")), lambda m: m["key"]), ", ").alias("plan"))
+
+
+_keys = ", ".join(f"({i}, '{k}', {e})" for i, (k, _, _, _, e) in W.METRICS.items())
+SQL["k6_action_plan"] = f"""WITH k AS ({SQL['k1_priorities']}), kd(metric_id, key, effort) AS (VALUES {_keys}), h AS (SELECT doc_id, priority, k.metric_id, key, CASE WHEN effort = 1 AND priority >= 0.55 THEN 'immediate' WHEN effort = 3 THEN 'strategic' ELSE 'near_term' END AS horizon FROM k JOIN kd USING (metric_id))
+SELECT doc_id, horizon, string_agg(key, ', ' ORDER BY priority DESC, metric_id) AS plan FROM h GROUP BY doc_id, horizon"""
+
+
+@query
+def o2_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every page as one JSON object, for a JSON sink."""
+    r = A.r1_scores(spark, sf_dir)
+    return r.select("doc_id", F.to_json(F.struct("overall", "band", "provisional", *W.PILLARS), {"ignoreNullFields": "false"}).alias("json"))

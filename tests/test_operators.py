@@ -103,3 +103,12 @@ def test_streaming(spark, tmp_path):
     spark.createDataFrame([(1, "https://a.example/", PAGE, t), (1, "https://a.example/", PAGE, t), (2, "https://b.example/", None, t)], PAGE_SCHEMA).write.parquet(str(tmp_path / "in"))
     append_to(landing_pages(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_structured_data(spark):
+    from lumenpage.plans.source_queries import structured_data
+
+    df = spark.createDataFrame([(1, PAGE, "https://ovenbook.example"), (2, None, None)], "doc_id int, html string, url string")
+    docs = extract_documents(df, "doc_id", "html", "url").withColumn("p", F.lit(r"(?i)\b(?:Ovenbook)\b"))
+    rows = {r.doc_id: r.score for r in structured_data(docs, "p").collect()}
+    assert rows[1] == round(25 + 20 * 2 / 3 + 10 + 5 + 10 + 5 + 5 + 5, 4) and rows[2] == 0.0
