@@ -27,16 +27,15 @@ def detect_intent(query: Column, entity: Column) -> Column:
 
 def query_terms(query: Column) -> Column:
     """Content terms without words of purpose, the first of each stem."""
-    purpose = F.array(*[F.lit(w) for w in L.INTENT_WORDS])
-    terms = F.filter(content_terms(query), lambda w: ~F.array_contains(purpose, w))
+    terms = F.filter(content_terms(query), lambda w: ~w.isin(L.INTENT_WORDS))
     stems = F.transform(terms, light_stem)
     return F.filter(F.transform(terms, lambda w, i: F.when(F.array_position(stems, light_stem(w)) == i + 1, w)), lambda w: w.isNotNull())
 
 
 def query_phrases(query: Column, limit: int = 3) -> Column:
     """Runs of words between stop words and words of purpose, the last three of each, the first `limit` runs."""
-    breaks = F.array(*[F.lit(w) for w in sorted({*L.STOPWORDS, *L.INTENT_WORDS})])
-    marked = F.transform(tokens(query), lambda w: F.when(F.array_contains(breaks, F.lower(w)), F.lit("|")).otherwise(F.lower(w)))
+    breaks = sorted({*L.STOPWORDS, *L.INTENT_WORDS})
+    marked = F.transform(tokens(query), lambda w: F.when(F.lower(w).isin(breaks), F.lit("|")).otherwise(F.lower(w)))
     runs = F.filter(F.transform(F.split(F.array_join(marked, " "), r"\|"), lambda r: F.trim(r)), lambda r: r != "")
     last = lambda r: F.array_join(F.slice(F.split(r, " "), F.greatest(F.size(F.split(r, " ")) - 2, F.lit(1)), 3), " ")
     return F.slice(F.transform(runs, last), 1, limit)

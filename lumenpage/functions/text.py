@@ -46,8 +46,7 @@ def blank_words(c: Column) -> Column:
 
 
 def content_terms(c: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(F.transform(tokens(c), F.lower), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    return F.filter(F.transform(tokens(c), F.lower), lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))
 
 
 def light_stem(w: Column) -> Column:

@@ -10,8 +10,7 @@ from lumenpage.config.lexicons import STOPWORDS
 
 def grams(c: Column) -> Column:
     """Words of two or more letters or digits without stop words, and pairs of neighbours among them."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    w = F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda x: ~F.array_contains(stop, x))
+    w = F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda x: ~x.isin(STOPWORDS))
     ahead = F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))
     pairs = F.zip_with(F.slice(w, F.lit(1), F.size(ahead)), ahead, lambda x, y: F.concat_ws(" ", x, y))
     return F.concat(w, pairs)
@@ -24,18 +23,17 @@ def tfidf_similarity(passages: DataFrame, probes: DataFrame, call: list[str], pa
     ln((1 + n) / (1 + df)) + 1, vectors have length 1. Rows are partitioned by call once, and counts, document frequencies and lengths are windows and
     aggregations within that partitioning; a call is the texts of one page with its probes.
     """
-    both = passages.select(*call, F.concat(F.lit("p"), F.col(passage).cast("string")).alias("tid"), grams(F.col(text)).alias("g")).unionByName(
-        probes.select(*call, F.concat(F.lit("q"), F.col(probe).cast("string")).alias("tid"), grams(F.col(text)).alias("g"))
-    )
+    row = lambda mark, no: F.concat(F.lit(mark), F.col(no).cast("string")).alias("tid")
+    both = passages.select(*call, row("p", passage), F.col(text).alias("text")).unionByName(probes.select(*call, row("q", probe), F.col(text).alias("text")))
     of_call, of_gram, of_text = Window.partitionBy(*call), Window.partitionBy(*call, "gram"), Window.partitionBy(*call, "tid")
     sized = both.repartition(*call).withColumn("n", F.count(F.lit(1)).over(of_call))
-    tf = sized.select(*call, "n", "tid", F.explode("g").alias("gram")).groupBy(*call, "gram", "tid").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    tf = sized.select(*call, "n", "tid", F.explode(F.transform(grams(F.col("text")), lambda x: F.xxhash64(x))).alias("gram")).groupBy(*call, "gram", "tid").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     idf = F.log((F.col("n") + 1) / (F.count(F.lit(1)).over(of_gram) + 1)) + 1
     w = tf.select(*call, "gram", "tid", ((F.log("c") + 1) * idf).alias("w"))
     unit = w.select(*call, "gram", "tid", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(of_text))).alias("u"))
-    left = unit.where("tid like 'p%'").select(*call, "gram", F.expr("substring(tid, 2)").alias(passage), F.col("u").alias("x"))
-    right = unit.where("tid like 'q%'").select(*call, "gram", F.expr("substring(tid, 2)").alias(probe), F.col("u").alias("y"))
-    dots = left.join(right, [*call, "gram"]).groupBy(*call, passage, probe).agg(F.sum(F.col("x") * F.col("y")).alias("sim"))
+    asked = F.collect_list(F.when(F.startswith("tid", F.lit("q")), F.struct(F.substring("tid", 2, 30).alias("q"), F.col("u").alias("y")))).over(of_gram)
+    met = unit.withColumn("asked", asked).where(F.startswith("tid", F.lit("p")) & (F.size("asked") > 0)).select(*call, F.substring("tid", 2, 30).alias(passage), "u", F.explode("asked").alias("a"))
+    dots = met.groupBy(*call, passage, F.col("a.q").alias(probe)).agg(F.sum(F.col("u") * F.col("a.y")).alias("sim"))
     kinds = dict(passages.dtypes)[passage], dict(probes.dtypes)[probe]
     return dots.select(*call, F.col(passage).cast(kinds[0]).alias(passage), F.col(probe).cast(kinds[1]).alias(probe), F.least("sim", F.lit(1.0)).alias("sim"))
 
