@@ -56,8 +56,8 @@ SHAPE_HINT = re.compile(r"[{\[<&@_~]|%[A-Za-z({]|#[#{]|\*\|")
 PHRASES = re.compile(
     r"""lorem\ ipsum|ipsum\ lorem|\basdf(\ asdf)+|\bx{4,}(\ x{3,})+|(headline|text|title|content|description|copy)\ goes\ here|your\ (text|content|headline|title)\ here
     |click\ edit\ to\ change|dummy\ (copy|text|content)\.|this\ is\ (dummy|placeholder|filler|sample)|sample\ text\ sample|placeholder\ (content|text)\ for|write\ this\ section|replace\ this\ (paragraph|text)
-    |copy\ to\ follow|insert\ [\w ]+(\([^)]*\)\ )?here|text\ block\ \d+|to\ be\ (written|completed)\ before\ launch|not\ meant\ to\ be\ read|\bTODO:|\bFIXME\b|under\ construction|coming\ soon\.{3}
-    |page\ not\ found\.|^\W*\d*\W*page\ not\ found|404\ -|address\ you\ typed|can't\ find\ what\ you|requested\ url|was\ not\ found\ on\ this\ server|page\ (isn't|is\ not|is\ no\ longer)\ available|no\ longer\ exists
+    |copy\ to\ follow|add\ a\ (sub)?heading|add\ your\ (text|title|heading|description)|insert\ [\w ]+(\([^)]*\)\ )?here|text\ block\ \d+|to\ be\ (written|completed)\ before\ launch|not\ meant\ to\ be\ read|\bTODO:|\bFIXME\b|under\ construction|coming\ soon\.{3}
+    |page\ not\ found\.|^\W*\d*\W*page\ not\ found|\b404\ -|address\ you\ typed|can't\ find\ what\ you|requested\ url|was\ not\ found\ on\ this\ server|page\ (isn't|is\ not|is\ no\ longer)\ available|no\ longer\ exists
     |access\ denied\.|do\ not\ have\ permission|service\ (temporarily\ )?unavailable$|temporarily\ unavailable|internal\ server\ error|bad\ gateway|gateway\ time-?out|too\ many\ requests\.|database\ connection
     |something\ went\ wrong\ on|^oops|down\ for\ maintenance|back\ shortly|request\ could\ not\ be\ completed|could\ not\ be\ completed\.\ incident|slow\ down\ and\ reload|^\s*(4\d\d|5\d\d)\s+(forbidden|unauthorized|gone|not\ found)
     |traceback\ \(most|fatal\ error|uncaught\ \w*(error|exception)|undefined\ (array\ key|index|variable|offset)|exception\ in\ thread|stack\ trace:|null\ ?pointer|segmentation\ fault|at\ [\w.$]+\([\w.]+:\d+\)|on\ line\ \d+|syntax\ error,|line\ \d+,\ in\ |(error|exception):\ 
@@ -65,7 +65,7 @@ PHRASES = re.compile(
     |seite\ nicht\ gefunden|nicht\ gefunden\ \(|serverfehler|zugriff\ verweigert|javascript\ in\ ihrem|bitte\ aktivieren|nicht\ verf(ü|ue)gbar\.|wartungsarbeiten
     |page\ est\ introuvable|page\ introuvable|erreur\ \d{3}|acc(è|e)s\ refus(é|e)|momentan(é|e)ment|veuillez\ activer|activer\ javascript
     |se\ ha\ producido\ un\ error|error\ inesperado|unerwarteter\ fehler|fehler\ ist\ aufgetreten|une\ erreur\ (s.est|est)|erreur\ inattendue|ocorreu\ um\ erro|произошла\ ошибка|παρουσιάστηκε|エラーが発生
-    |p(á|a)gina\ no\ (encontrada|existe|disponible)|no\ se\ (ha\ )?encontr|acceso\ denegado|error\ interno|activ[ae]\ javascript|habilit[ae]\ javascript|servicio\ no\ disponible
+    |no\ encontramos\ la|p(á|a)gina\ no\ (encontrada|existe|disponible)|no\ se\ (ha\ )?encontr|acceso\ denegado|error\ interno|activ[ae]\ javascript|habilit[ae]\ javascript|servicio\ no\ disponible
     |p(á|a)gina\ n(ã|a)o\ (foi\ )?encontrada|n(ã|a)o\ encontrad|acesso\ negado|erro\ (interno|\d{3})|ativ[ae]\ o?\ ?javascript|servi(ç|c)o\ indispon(í|i)vel
     |страница\ не\ найдена|доступ\ (запрещ|закрыт)|ошибка\ (\d{3}|сервера)|внутренняя\ ошибка|включите\ javascript|сервис\ временно|η\ σελίδα\ δεν|ενεργοποιήστε|σφάλμα\ \d|πρόσβαση\ δεν|ページが見つかりません|見つかりません|javascriptを|アクセスが拒否|サーバーエラー|エラー\d{3}|メンテナンス中
     """,
@@ -80,11 +80,11 @@ NOTE = re.compile(r"^(HTTP \d{3}$|timed out after \d|DNS lookup|TLS handshake|bl
 
 # Words of which every phrase above holds at least one.
 KEYWORDS = frozenset(
-    """lorem ipsum asdf headline goes here click dummy placeholder filler sample section paragraph replace follow insert block launch meant todo fixme construction coming
+    """lorem ipsum asdf subheading heading add headline goes here click dummy placeholder filler sample section paragraph replace follow insert block launch meant todo fixme construction coming
     found leads nowhere address looking find requested available longer exists denied permission unavailable internal gateway requests database wrong oops maintenance shortly completed incident
     reload forbidden unauthorized gone traceback fatal uncaught undefined exception trace null nullpointer pointer segmentation line syntax error errors javascript js script scripts scripting cannot load
     gefunden serverfehler verweigert aktivieren wartungsarbeiten verfügbar verfugbar fehler unerwarteter introuvable erreur refusé refuse momentanément momentanement activer
-    encontrada encontrado encontró encontra encontrou existe disponible denegado interno producido inesperado activa active habilita habilite acesso negado erro indisponível indisponivel ativa ative ocorreu
+    encontrada encontrado encontró encontra encontrou encontramos existe disponible denegado interno producido inesperado activa active habilita habilite acesso negado erro indisponível indisponivel ativa ative ocorreu
     найдена доступ ошибка внутренняя включите сервис σελίδα ενεργοποιήστε σφάλμα πρόσβαση παρουσιάστηκε none nan nil object""".split()
 ) - {"cannot", "line", "find", "maintenance", "gateway", "replace", "follow", "address", "what"}
 WORDS = re.compile(r"[^\W\d_]+")
