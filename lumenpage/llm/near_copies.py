@@ -172,22 +172,30 @@ def similar_pairs(df: DataFrame, rec_id: str, title: str, text: str, **limits) -
     return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def similar_groups(df: DataFrame, rec_id: str, title: str, text: str, rounds: int = 40, **limits) -> DataFrame:
+def least_reachable(edges: DataFrame) -> DataFrame:
+    """(a, label): the least record reachable from each a over `edges`, which hold both directions of every link. In a round a
+    record takes the least label beside it, its label hooks to that one too, and labels jump over their own labels, so the rounds grow
+    with the logarithm of a chain's length. Each round is written to the shared folder, until nothing changes."""
+    labels = stage(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    while True:
+        near = edges.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("l"))
+        beside = stage(labels.join(near, "a").select("a", "label", F.least("label", "l").alias("l")), "beside")
+        hooks = beside.groupBy("label").agg(F.min("l").alias("h")).withColumnRenamed("label", "a")
+        jumps = labels.select(F.col("a").alias("label"), F.col("label").alias("j"))
+        jumped = beside.join(jumps, "label").select("a", F.least("l", "j").alias("l"), F.col("label").alias("was"))
+        new = stage(jumped.join(hooks, "a", "left").select("a", F.least("l", "h").alias("label"), "was"), "labels")
+        labels = new.select("a", "label")
+        if new.where("label < was").limit(1).count() == 0:
+            return labels
+
+
+def similar_groups(df: DataFrame, rec_id: str, title: str, text: str, **limits) -> DataFrame:
     """(rec_id, class_id, n_links, group_id), one row per record long enough: its class of equal sets, the number of other classes linked
-    to that class, and its group, the least record reachable over links. Labels spread along links and jump over
-    their own labels, each round written to the shared folder, until nothing changes."""
+    to that class, and its group, the least record reachable over links."""
     members, links = link_classes(df, rec_id, title, text, **limits)
     members, links = stage(members, "members"), stage(links.select("a", "b"), "links")
     edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = stage(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
-    for _ in range(rounds):
-        near = edges.join(labels.select(F.col("a").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        jump = labels.select(F.col("a").alias("label"), F.col("label").alias("j"))
-        step = labels.join(near, "a").join(jump, "label", "left").select("a", F.least("label", "l", "j").alias("label"), F.col("label").alias("was"))
-        new = stage(step, "labels")
-        labels = new.select("a", "label")
-        if new.where("label < was").limit(1).count() == 0:
-            break
+    labels = least_reachable(edges)
     out = members.join(labels, members.rep == labels.a, "left").drop("a").join(degree, members.rep == degree.a, "left")
     return out.select(F.col("rec").alias(rec_id), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("label", "rep").alias("group_id"))

@@ -66,6 +66,15 @@ def test_groups(spark, df):
     assert {r.class_id for r in rows if 1000 <= r.doc_id < 1012} == {1000}
 
 
+def test_long_chain(spark):
+    """300 revisions, each alike only to the next, under shuffled ids: one group."""
+    words, ids = [f"c{i}" for i in range(3100)], random.Random(5).sample(range(10_000), 300)
+    rows = [(n, None, " ".join(words[10 * i : 10 * i + 100])) for i, n in enumerate(ids)]
+    got = N.similar_groups(spark.createDataFrame(rows, "doc_id long, title string, text string"), "doc_id", "title", "text").collect()
+    assert sorted(r.n_links for r in got) == [1, 1] + [2] * 298
+    assert {r.doc_id: r.group_id for r in got} == dict.fromkeys(ids, min(ids))
+
+
 def test_empty(spark, df):
     assert N.similar_pairs(df.limit(0), "doc_id", "title", "text").count() == 0
     assert N.similar_groups(df.limit(0), "doc_id", "title", "text").count() == 0
