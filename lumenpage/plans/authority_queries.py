@@ -14,7 +14,7 @@ from lumenpage.plans import entity_queries as E
 from lumenpage.plans import page_queries as P
 from lumenpage.plans import sql as S
 from lumenpage.plans.entity_queries import BLOCKS, ENT, sql_hit, sql_pattern
-from lumenpage.sources import read_table
+from lumenpage.sources import read_table, stage
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -211,6 +211,32 @@ def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+ALL_PAGE_METRICS = {**PAGE_METRICS, 1: P.m1_direct_answer, 5: P.m5_information_density, 8: E.m8_coverage, 11: E.m11_relationships, 12: E.m12_relevance}
+
+
+def all_metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, metric_id, score) of all 16 metrics of every page: 13 to 15 are its project's, and 16 takes the page's own 9 and 12. The score is NULL
+    where a metric has none; 4 never has one, since the tables hold no markup. Each metric is staged by itself: one plan of them all would
+    outgrow the driver."""
+    rows = None
+    for i, f in ALL_PAGE_METRICS.items():
+        r = stage(f(spark, sf_dir).select("doc_id", F.lit(i).alias("i"), F.round("score", 1).alias("score")), "metric")
+        rows = r if rows is None else rows.unionByName(r)
+    wide = P.documents(spark, sf_dir, "project_id").join(rows.groupBy("doc_id").agg(*[F.max(F.when(F.col("i") == i, F.col("score"))).alias(f"m{i}") for i in ALL_PAGE_METRICS]), "doc_id", "left")
+    for i, f in {13: m13_mentions, 14: m14_diversity, 15: m15_citation_share}.items():
+        wide = wide.join(stage(f(spark, sf_dir).select("project_id", F.round("score", 1).alias(f"m{i}")), "metric"), "project_id", "left")
+    value = F.create_map(*[F.lit(x) for kv in W.INTENT_VALUE.items() for x in kv])
+    worth = P.primary_queries(spark, sf_dir).select("project_id", F.element_at(value, qf.detect_intent(F.col("query"), F.col("entity"))).alias("worth"))
+    prom = a2_answers(spark, sf_dir).join(read_table(spark, sf_dir, "fx_answer").select("answer_id", "project_id").distinct(), "answer_id").groupBy("project_id").agg(F.max("prominence").alias("prom"))
+    wide = wide.join(worth, "project_id", "left").join(stage(prom, "prominence"), "project_id", "left")
+    near = F.coalesce((F.col("m9") + F.col("m12")) / 2, "m9", "m12")
+    total = 40 * F.coalesce("worth", F.lit(0.6)) + 0.3 * F.coalesce(near, F.lit(0.0)) + 15 * F.coalesce("prom", F.lit(0.0))
+    weight = 0.4 + F.when(near.isNotNull(), 0.3).otherwise(0.0) + F.when(F.col("prom").isNotNull(), 0.15).otherwise(0.0)
+    wide = wide.withColumns({"m16": F.round(total / weight, 1), "m4": F.lit(None).cast("double")})
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("metric_id"), F.col(f"m{i}").alias("score")) for i in W.METRICS]))
+    return stage(wide.select("doc_id", each.alias("m")).select("doc_id", "m.metric_id", "m.score"), "metrics")
+
+
 def roll_up(rows: DataFrame, spark: SparkSession, by: str = "doc_id", pillar_weights: dict[str, float] | None = None) -> DataFrame:
     """(by, one column a pillar, overall, band, provisional, available): weighted means over the metrics that have a score; a pillar needs one that is
     measured or a proxy; pillars are rounded before the overall mean, and weights of missing parts go to the others."""
@@ -238,6 +264,12 @@ def r1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roll_up(metric_rows(spark, sf_dir), spark)
 
 
+@query
+def r1_scores_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pillar and overall scores of every page over all metrics."""
+    return roll_up(all_metric_rows(spark, sf_dir), spark)
+
+
 _rows = " UNION ALL ".join(f"SELECT doc_id, {i} AS metric_id, round(score, 1) AS score FROM ({s})" for i, s in PAGE_SQL.items())
 _dims = ", ".join(f"({i}, '{p}', {w}, {s != 'estimate'})" for i, (_, p, w, s, _) in W.METRICS.items())
 _pillar = {p: f"CASE WHEN count(*) FILTER (WHERE pillar = '{p}' AND firm) > 0 THEN round(CAST(sum(weight * score) FILTER (WHERE pillar = '{p}') / sum(weight) FILTER (WHERE pillar = '{p}') AS DOUBLE), 1) END" for p in W.PILLARS}
@@ -253,15 +285,31 @@ def k3_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_rows(spark, sf_dir).where("score is null").select("doc_id", "metric_id")
 
 
+@query
+def k3_gaps_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics, of all, that a page has no score for."""
+    return all_metric_rows(spark, sf_dir).where("score is null").select("doc_id", "metric_id")
+
+
 SQL["k3_gaps"] = f"WITH m AS ({_rows}) SELECT doc_id, metric_id FROM m WHERE score IS NULL"
 
 
+def extremes(rows: DataFrame) -> DataFrame:
+    x = rows.where("score >= 75 or score < 60").withColumn("side", F.when(F.col("score") >= 75, "strength").otherwise("weakness"))
+    w = Window.partitionBy("doc_id", "side").orderBy(F.when(F.col("side") == "strength", -F.col("score")).otherwise(F.col("score")), "metric_id")
+    return x.select("doc_id", "side", F.row_number().over(w).cast("bigint").alias("rank"), "metric_id", "score")
+
+
 @query
 def k5_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every page, its strengths (75 and more) and weaknesses (under 60), each ranked; ties by metric."""
-    x = metric_rows(spark, sf_dir).where("score >= 75 or score < 60").withColumn("side", F.when(F.col("score") >= 75, "strength").otherwise("weakness"))
-    w = Window.partitionBy("doc_id", "side").orderBy(F.when(F.col("side") == "strength", -F.col("score")).otherwise(F.col("score")), "metric_id")
-    return x.select("doc_id", "side", F.row_number().over(w).cast("bigint").alias("rank"), "metric_id", "score")
+    return extremes(metric_rows(spark, sf_dir))
+
+
+@query
+def k5_extremes_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all metrics."""
+    return extremes(all_metric_rows(spark, sf_dir))
 
 
 SQL["k5_extremes"] = f"""WITH m AS ({_rows}), x AS (SELECT *, CASE WHEN score >= 75 THEN 'strength' ELSE 'weakness' END AS side FROM m WHERE score >= 75 OR score < 60)

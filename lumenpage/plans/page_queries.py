@@ -231,6 +231,13 @@ def m1_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", F.col("n").cast("bigint").alias("words"), F.round("sim", 4).alias("sim"), rounded(0.35 * fit + 0.65 * sim_to_score(F.col("sim"), *W.SIM_RANGE), 3).alias("opening"))
 
 
+@query
+def m1_direct_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the opening's score and half the share of question headings that are answered, 25 without any; pages without a query or an opening are left out."""
+    x = m1_opening(spark, sf_dir).join(m1_question_answers(spark, sf_dir), "doc_id", "left")
+    return x.select("doc_id", rounded(0.5 * F.col("opening") + 0.5 * F.coalesce(F.col("answered") / F.col("questions") * 100, F.lit(25.0))).alias("score"))
+
+
 def sql_grams(x: str) -> str:
     w = f"list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({S.strings(L.STOPWORDS)}, w))"
     return f"list_concat({w}, list_transform(range(1, len({w})), lambda i: ({w})[i] || ' ' || ({w})[i + 1]))"

@@ -79,20 +79,30 @@ def s4_html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_documents(made, "doc_id", "html", "url").select("doc_id", "ok", "title", F.col("word_count").cast("bigint").alias("words"), F.size("blocks").cast("bigint").alias("blocks"))
 
 
-@query
-def k1_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weak metrics of every page by priority: how weak, how heavy, how much the query is worth, how near the entity, how easy, how sure."""
-    rows = A.metric_rows(spark, sf_dir)
+def priorities(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near the entity is the mean of those of metrics 9 and 12 that have a score."""
     dims = spark.createDataFrame([(i, w / 0.3, {1: 1.0, 2: 0.6, 3: 0.3}[e], W.EVIDENCE_STRENGTH[s]) for i, (_, _, w, s, e) in W.METRICS.items()], "metric_id int, impact double, ease double, sure double")
     value = F.create_map(*[F.lit(x) for kv in W.INTENT_VALUE.items() for x in kv])
     worth = P.documents(spark, sf_dir, "project_id").join(P.primary_queries(spark, sf_dir).select("project_id", F.element_at(value, qf.detect_intent(F.col("query"), F.col("entity"))).alias("worth")), "project_id", "left").select("doc_id", F.coalesce("worth", F.lit(0.6)).alias("worth"))
-    near = rows.where("metric_id = 9").select("doc_id", F.coalesce("score", F.lit(50.0)).alias("near"))
+    near = rows.where("metric_id in (9, 12)").groupBy("doc_id").agg(F.avg("score").alias("near"))
     x = rows.where(F.col("score") < W.THRESHOLD).join(F.broadcast(dims), "metric_id").join(worth, "doc_id").join(near, "doc_id", "left")
     w = W.PRIORITY
     p = w["weakness"] * (100 - F.col("score")) / 100 + w["impact"] * F.col("impact") + w["query"] * F.col("worth") + w["entity"] * F.coalesce("near", F.lit(50.0)) / 100 + w["effort"] * F.col("ease") + w["evidence"] * F.col("sure")
     return x.select("doc_id", "metric_id", F.round(p + 1e-9, 3).alias("priority"))
 
 
+@query
+def k1_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak metrics of every page by priority: how weak, how heavy, how much the query is worth, how near the entity, how easy, how sure."""
+    return priorities(A.metric_rows(spark, sf_dir), spark, sf_dir)
+
+
+@query
+def k1_priorities_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all metrics."""
+    return priorities(A.all_metric_rows(spark, sf_dir), spark, sf_dir)
+
+
 _dims = ", ".join(f"({i}, {w / 0.3!r}, {({1: 1.0, 2: 0.6, 3: 0.3})[e]}, {W.EVIDENCE_STRENGTH[s]})" for i, (_, _, w, s, e) in W.METRICS.items())
 _w = W.PRIORITY
 SQL["k1_priorities"] = f"""WITH m AS ({A._rows}), dm(metric_id, impact, ease, sure) AS (VALUES {_dims}), q AS (SELECT DISTINCT project_id, {A._intent_sql()} AS intent FROM fx_project WHERE trim(coalesce(query, '')) <> ''),
@@ -101,12 +111,21 @@ SELECT m.doc_id, m.metric_id, round(CAST({_w['weakness']} * (100 - score) / 100
 FROM m JOIN dm USING (metric_id) JOIN wo ON wo.doc_id = m.doc_id LEFT JOIN n ON n.doc_id = m.doc_id WHERE score < {W.THRESHOLD}"""
 
 
+def report_lines(r: DataFrame) -> DataFrame:
+    show = lambda c: F.coalesce(F.format_string("%.1f", F.col(c)), F.lit("-"))
+    return r.select("doc_id", F.concat(F.lit("| "), F.col("doc_id").cast("string"), F.lit(" | "), show("overall"), F.lit(" | "), F.col("band"), F.lit(" |")).alias("line"))
+
+
 @query
 def o2_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Markdown line for every page, ready for a text sink."""
-    r = A.r1_scores(spark, sf_dir)
-    show = lambda c: F.coalesce(F.format_string("%.1f", F.col(c)), F.lit("-"))
-    return r.select("doc_id", F.concat(F.lit("| "), F.col("doc_id").cast("string"), F.lit(" | "), show("overall"), F.lit(" | "), F.col("band"), F.lit(" |")).alias("line"))
+    return report_lines(A.r1_scores(spark, sf_dir))
+
+
+@query
+def o2_report_lines_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all metrics."""
+    return report_lines(A.r1_scores_full(spark, sf_dir))
 
 
 @query
@@ -167,23 +186,42 @@ def v5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return KMeans(k=10, seed=0, maxIter=20).fit(e).transform(e).select("vec_id", F.col("prediction").alias("cluster"))
 
 
-@query
-def k6_action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weak metrics of every page by horizon, in order of priority."""
+def action_plan(ranked: DataFrame, spark: SparkSession) -> DataFrame:
     dims = spark.createDataFrame([(i, k, e) for i, (k, _, _, _, e) in W.METRICS.items()], "metric_id int, key string, effort int")
-    x = k1_priorities(spark, sf_dir).join(F.broadcast(dims), "metric_id")
+    x = ranked.join(F.broadcast(dims), "metric_id")
     horizon = F.when((F.col("effort") == 1) & (F.col("priority") >= 0.55), "immediate").when(F.col("effort") == 3, "strategic").otherwise("near_term")
     rows = x.select("doc_id", horizon.alias("horizon"), F.struct((-F.col("priority")).alias("p"), "metric_id", "key").alias("m"))
     return rows.groupBy("doc_id", "horizon").agg(F.array_join(F.transform(F.sort_array(F.collect_list("m")), lambda m: m["key"]), ", ").alias("plan"))
 
 
+@query
+def k6_action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak metrics of every page by horizon, in order of priority."""
+    return action_plan(k1_priorities(spark, sf_dir), spark)
+
+
+@query
+def k6_action_plan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all metrics."""
+    return action_plan(k1_priorities_full(spark, sf_dir), spark)
+
+
 _keys = ", ".join(f"({i}, '{k}', {e})" for i, (k, _, _, _, e) in W.METRICS.items())
 SQL["k6_action_plan"] = f"""WITH k AS ({SQL['k1_priorities']}), kd(metric_id, key, effort) AS (VALUES {_keys}), h AS (SELECT doc_id, priority, k.metric_id, key, CASE WHEN effort = 1 AND priority >= 0.55 THEN 'immediate' WHEN effort = 3 THEN 'strategic' ELSE 'near_term' END AS horizon FROM k JOIN kd USING (metric_id))
 SELECT doc_id, horizon, string_agg(key, ', ' ORDER BY priority DESC, metric_id) AS plan FROM h GROUP BY doc_id, horizon"""
 
 
+def json_rows(r: DataFrame) -> DataFrame:
+    return r.select("doc_id", F.to_json(F.struct("overall", "band", "provisional", *W.PILLARS), {"ignoreNullFields": "false"}).alias("json"))
+
+
 @query
 def o2_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every page as one JSON object, for a JSON sink."""
-    r = A.r1_scores(spark, sf_dir)
-    return r.select("doc_id", F.to_json(F.struct("overall", "band", "provisional", *W.PILLARS), {"ignoreNullFields": "false"}).alias("json"))
+    return json_rows(A.r1_scores(spark, sf_dir))
+
+
+@query
+def o2_json_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all metrics."""
+    return json_rows(A.r1_scores_full(spark, sf_dir))
