@@ -325,3 +325,19 @@ def k4_cited_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["k4_cited_domains"] = f"""WITH {ENT}, {CITES}, {_JC}, c AS (SELECT project_id, {S.domain('url')} AS domain, count(*) AS n FROM jc WHERE url <> '' AND NOT is_target GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, domain) AS rank FROM c) SELECT * FROM r WHERE rank <= 5"""
+
+
+@query
+def k4_cited_domains_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over answers that don't cite the target, without citations of supplied pages known to mention the entity; of pages with one URL, the last counts."""
+    key = lambda c: F.regexp_replace(urls.normalize_url(c), "/+$", "")
+    c = _judged_citations(spark, sf_dir)
+    said = read_table(spark, sf_dir, "fx_answer").where("trim(coalesce(text, '')) <> ''").select("answer_id")
+    citing = c.where("is_target").select("answer_id")
+    d = read_table(spark, sf_dir, "fx_document").where("kind = 'external' and coalesce(url, '') <> ''").join(E.entities(spark, sf_dir).select("project_id", "pattern"), "project_id")
+    known = d.select("project_id", key(F.col("url")).alias("page"), "doc_id", (F.col("ok") & F.rlike(text.text_or_empty(F.col("text")), F.col("pattern"))).alias("names"))
+    known = known.groupBy("project_id", "page").agg(F.max_by("names", "doc_id").alias("names")).where("names")
+    x = c.where("url <> ''").join(said, "answer_id", "left_semi").join(citing, "answer_id", "left_anti")
+    x = x.select("project_id", key(F.col("url")).alias("page"), urls.registrable_domain(F.col("url")).alias("domain")).where("domain <> ''").join(known, ["project_id", "page"], "left_anti")
+    n = x.groupBy("project_id", "domain").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("n").desc(), "domain")).cast("bigint")).where("rank <= 5")
