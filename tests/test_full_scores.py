@@ -51,3 +51,15 @@ def test_roll_up(spark, sf_dir, rows):
         for p in W.PILLARS:
             assert got[d][p] == (pytest.approx(pillars[p], abs=0.051) if p in pillars else None)
         assert got[d].overall == pytest.approx(sum(pillars.values()) / len(pillars), abs=0.11)
+
+
+def test_near_the_entity(spark, sf_dir, rows):
+    """Relevance of the entity is the mean of metrics 9 and 12, in 16 and in the priorities."""
+    from lumenpage.plans import source_queries as Q
+
+    made = spark.createDataFrame([(d, i, s) for (d, i), s in rows.items()], "doc_id long, metric_id int, score double")
+    cut = made.where("metric_id <> 12")
+    both = {(r.doc_id, r.metric_id): r.priority for r in Q.priorities(made, spark, sf_dir).collect()}
+    one = {(r.doc_id, r.metric_id): r.priority for r in Q.priorities(cut, spark, sf_dir).collect()}
+    moved = [(both[d, i] - one[d, i], rows[d, 9], rows[d, 12]) for d, i in one if rows[d, 9] is not None and rows[d, 12] is not None]
+    assert any(a != b for _, a, b in moved) and all(x == pytest.approx(W.PRIORITY["entity"] * ((a + b) / 2 - a) / 100, abs=0.0011) for x, a, b in moved)
