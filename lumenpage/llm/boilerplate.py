@@ -139,7 +139,7 @@ def keyed_pages(blocks: DataFrame, pages: DataFrame, common: frozenset[str]) ->
                     if kind == 2:
                         items = x["items"] or text.split(" ; ")
                         parts = [p for i in items for p in (BAR.split(i) if len(i) <= SHORT else [i]) if p]
-                        leaves = [_key(t) if len(p) <= SHORT and (t := template(p, names, vocabulary)) else 0 for p in parts[:200]]
+                        leaves = [_key(t) if len(p) <= SHORT and (t := template(p, names, vocabulary)) else 0 for p in parts]
                         flat = all(not END.search(i) for i in items)
                         k = _key(t) if len(text) <= SHORT and (t := template(text, names, vocabulary)) else 0
                         kept = len(text) <= SHORT and may_hold(text) and bool(PHRASES.search(text))

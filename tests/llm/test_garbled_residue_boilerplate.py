@@ -110,3 +110,10 @@ def test_furniture(spark):
 
 def test_texts_of_both_tables(spark, sf_dir):
     assert {r.tbl for r in _texts(spark, sf_dir).select("tbl").distinct().collect()} == {"fx_document", "fx_answer"}
+
+
+def test_long_list(spark):
+    """Every entry of a list counts, however many."""
+    blocks = spark.createDataFrame([(1, 0, "list", "x", [f"entry {'abcdefghij'[i % 10] * (i // 10 + 1)}" for i in range(250)])], "doc_id long, pos int, type string, text string, items array<string>")
+    page = B.keyed_pages(blocks, spark.createDataFrame([(1, "h.example")], "doc_id long, host string"), frozenset()).collect()[0]
+    assert len(page.nodes[0].leaves) == 250
