@@ -10,7 +10,7 @@ from lumenpage.config import weights as W
 from lumenpage.functions import queries as qf
 from lumenpage.functions import text
 from lumenpage.operators import blocks as B
-from lumenpage.operators.entities import FORMS, entity_table, name_pattern, relation_table
+from lumenpage.operators.entities import CAPITALS, FORMS, any_variant, entity_table, name_pattern, name_variants, relation_table
 from lumenpage.operators.similarity import sim_to_score, tfidf_similarity
 from lumenpage.plans import sql as S
 from lumenpage.plans.page_queries import BLOCKS, WORDS, _qt, clamp, documents, primary_queries, rounded, scale, sql_tfidf, sscale
@@ -40,24 +40,41 @@ def query(f):
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(project_id, entity, website, pattern) of projects with an entity."""
+    """(project_id, entity, website, pattern, variants) of projects with an entity."""
     p = read_table(spark, sf_dir, "fx_project").select("project_id", "entity", "website").distinct()
-    return p.withColumn("pattern", name_pattern(F.col("entity"), F.col("website"))).where("pattern is not null")
+    known = any_variant(name_variants(F.col("entity"), F.col("website")))
+    return p.withColumns({"pattern": name_pattern(F.col("entity"), F.col("website")), "variants": known}).where("pattern is not null")
 
 
-_full = "trim(coalesce(entity, ''))"
+def rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_id, rivals): the competitors of each project with their patterns, in order; projects are of fixed number."""
+    p = read_table(spark, sf_dir, "fx_project").select("project_id", "competitors").distinct()
+    named = F.filter("competitors", lambda c: F.trim(F.coalesce(c["name"], F.lit(""))) != "")
+    return p.select("project_id", F.transform(named, lambda c: F.struct(c["name"].alias("name"), name_pattern(c["name"], c["domain"]).alias("pattern"))).alias("rivals"))
 
 
-def sql_pattern(name: str, website: str) -> str:
+def sql_variants(name: str, website: str) -> str:
     full = f"trim(coalesce({name}, ''))"
     stem = f"string_split({S.domain(f'coalesce({website}, {chr(39)*2})')}, '.')[1]"
     parts = f"list_distinct(list_filter([{full}, trim(regexp_replace({full}, {S.q(FORMS)}, '')), CASE WHEN length({stem}) >= 4 THEN {stem} ELSE '' END], lambda v: v <> ''))"
-    ordered = f"list_transform(list_sort(list_transform({parts}, lambda v: {{'n': -length(v), 'v': v}})), lambda s: s.v)"
-    escaped = f"list_transform({ordered}, lambda v: regexp_replace(regexp_replace(v, '([.^$|()\\[\\]{{}}*+?\\\\-])', '\\\\\\1', 'g'), ' ', '[\\\\s-]+', 'g'))"
-    return f"CASE WHEN {full} <> '' THEN CASE WHEN len(list_filter({ordered}, lambda v: length(v) <= 3)) > 0 THEN '' ELSE '(?i)' END || '\\b(?:' || array_to_string({escaped}, '|') || ')\\b' END"
+    return f"list_transform(list_sort(list_transform({parts}, lambda v: {{'n': -length(v), 'v': v}})), lambda s: s.v)"
+
+
+def sql_alternatives(variants: str, edges: bool) -> str:
+    """The variants, each between word boundaries if its end is a word character, and between their opposites if not: the engine has no lookaround."""
+    esc = r"regexp_replace(regexp_replace(v, '([.^$|()\[\]{}*+?\\-])', '\\\1', 'g'), ' ', '[\\s-]+', 'g')"
+    edge = lambda at: f"CASE WHEN regexp_matches(v, '{at}') THEN '\\b' ELSE '\\B' END"
+    one = f"{edge('^[0-9A-Za-z_]')} || {esc} || {edge('[0-9A-Za-z_]$')}" if edges else esc
+    plain = f"list_transform({variants}, lambda v: regexp_replace(v, '{LETTERS}', 'q', 'g'))"
+    return f"array_to_string(list_transform({plain}, lambda v: {one}), '|')"
+
+
+def sql_pattern(name: str, website: str) -> str:
+    v = sql_variants(name, website)
+    return f"CASE WHEN trim(coalesce({name}, '')) <> '' THEN CASE WHEN len(list_filter({v}, lambda v: length(v) <= 3)) > 0 THEN '' ELSE '(?i)' END || '(?:' || {sql_alternatives(v, True)} || ')' END"
 
 
-ENT = f"e AS (SELECT * FROM (SELECT DISTINCT project_id, query, entity, website, competitors, {sql_pattern('entity', 'website')} AS pat FROM fx_project) WHERE pat IS NOT NULL)"
+ENT = f"e AS (SELECT * FROM (SELECT DISTINCT project_id, query, entity, website, competitors, {sql_pattern('entity', 'website')} AS pat, {sql_alternatives(sql_variants('entity', 'website'), False)} AS variants FROM fx_project) WHERE pat IS NOT NULL)"
 
 
 @query
@@ -107,11 +124,11 @@ FROM x LEFT JOIN h ON x.doc_id = h.doc_id LEFT JOIN c ON x.doc_id = c.doc_id"""
 @query
 def m10_clarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a page defines its entity, says what it offers, where it is, and for whom; 0 without a sentence about it."""
-    d = read_table(spark, sf_dir, "fx_document").join(entities(spark, sf_dir).select("project_id", "pattern"), "project_id")
-    d = d.select("doc_id", "pattern", text.sentences(F.col("text")).alias("s")).dropDuplicates(["doc_id"])
+    d = read_table(spark, sf_dir, "fx_document").join(entities(spark, sf_dir).select("project_id", "pattern", "variants"), "project_id")
+    d = d.select("doc_id", "pattern", "variants", text.sentences(F.col("text")).alias("s")).dropDuplicates(["doc_id"])
     own = F.filter(F.transform("s", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda y: F.rlike(y["x"], F.col("pattern")))
-    d = d.select("doc_id", "pattern", F.size("s").alias("n"), own.alias("own"))
-    define = F.concat(F.lit("(?i)"), F.regexp_replace(F.regexp_replace("pattern", r"^\(\?i\)\\b", ""), r"\\b$", ""), F.lit(DEFINES))
+    d = d.select("doc_id", "variants", F.size("s").alias("n"), own.alias("own"))
+    define = F.concat(F.lit("(?i)"), F.col("variants"), F.lit(DEFINES))
     pick = lambda p: F.filter("own", lambda y: F.rlike(y["x"], p))
     d = d.select("doc_id", "n", F.size("own").alias("own"), pick(define).alias("defs"), pick(F.lit(OFFER)).alias("offers"), F.size(pick(F.lit(IDENTITY))).alias("ids"), F.size(pick(F.lit(AUDIENCE))).alias("aud"))
     cut = F.greatest(F.lit(5), F.floor(F.col("n") * 0.2))
@@ -122,9 +139,9 @@ def m10_clarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _L = lambda p: f"len(list_filter(own, lambda y: {S.like('y.x', p)}))"
-_DEF = "'(?i)' || regexp_replace(regexp_replace(pat, '^\\(\\?i\\)\\\\b', ''), '\\\\b$', '') || " + S.q(DEFINES)
-SQL["m10_clarity"] = f"""WITH {ENT}, d0 AS (SELECT DISTINCT doc_id, pat, {S.sentences('text')} AS s FROM fx_document JOIN e USING (project_id)),
-d AS (SELECT doc_id, pat, len(s) AS n, list_filter(list_transform(s, lambda x, i: {{'i': i - 1, 'x': x}}), lambda y: {sql_hit('y.x')}) AS own FROM d0),
+_DEF = "'(?i)(?:' || variants || ')' || " + S.q(DEFINES)
+SQL["m10_clarity"] = f"""WITH {ENT}, d0 AS (SELECT DISTINCT doc_id, pat, variants, {S.sentences('text')} AS s FROM fx_document JOIN e USING (project_id)),
+d AS (SELECT doc_id, variants, len(s) AS n, list_filter(list_transform(s, lambda x, i: {{'i': i - 1, 'x': x}}), lambda y: {sql_hit('y.x')}) AS own FROM d0),
 x AS (SELECT doc_id, n, len(own) AS own_n, list_filter(own, lambda y: regexp_matches(regexp_replace(y.x, '{LETTERS}', 'q', 'g'), {_DEF})) AS defs, list_filter(own, lambda y: {S.like('y.x', OFFER)}) AS offers, {_L(IDENTITY)} AS ids, {_L(AUDIENCE)} AS aud FROM d)
 SELECT doc_id, own_n AS sentences, len(defs) AS definitions, len(offers) AS offers, CASE WHEN own_n > 0 THEN CASE WHEN len(defs) > 0 THEN 35.0 WHEN len(offers) > 0 THEN 15.0 ELSE 0.0 END + CASE WHEN len(offers) >= 2 THEN 25.0 WHEN len(offers) = 1 THEN 15.0 ELSE 0.0 END
  + CASE WHEN ids > 0 THEN 15.0 ELSE 0.0 END + CASE WHEN aud > 0 THEN 15.0 ELSE 0.0 END + CASE WHEN len(list_filter(list_concat(defs, offers), lambda y: y.i < greatest(5, floor(n * 0.2)))) > 0 THEN 10.0 ELSE 0.0 END ELSE 0.0 END::DOUBLE AS score FROM x"""
@@ -133,42 +150,107 @@ SELECT doc_id, own_n AS sentences, len(defs) AS definitions, len(offers) AS offe
 @query
 def e3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in every document by count, the 80 most frequent."""
-    d = read_table(spark, sf_dir, "fx_document").select("doc_id", text.sentences(F.col("text")).alias("s"))
-    return entity_table(d, "doc_id", "s").select("doc_id", "name", "kind", F.col("n").cast("bigint").alias("n"), F.col("rank").cast("bigint").alias("rank")).dropDuplicates(["doc_id", "name"])
-
-
-def _with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "fx_document").join(entities(spark, sf_dir).select("project_id", "pattern"), "project_id").select("doc_id", "pattern", text.sentences(F.col("text")).alias("s")).dropDuplicates(["doc_id"])
-    d = stage(d, "sentences")
-    names = entity_table(d, "doc_id", "s").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "name", "kind", "n", "sentences"))).alias("names"))
-    return d.join(names, "doc_id", "left").withColumn("others", F.filter(F.coalesce("names", F.expr("array()")), lambda x: ~F.rlike(x["name"], F.col("pattern"))))
+    d = read_table(spark, sf_dir, "fx_document").select("doc_id", "text").dropDuplicates(["doc_id"]).select("doc_id", text.sentences(F.col("text")).alias("s"))
+    return entity_table(d, "doc_id", "s").select("doc_id", "name", "kind", F.col("n").cast("bigint").alias("n"), F.col("rank").cast("bigint").alias("rank"))
+
+
+_lead = r"regexp_matches(m, '^(?:[;:|.] |[A-Z])')"
+_titles = "(?:" + "|".join(L.PERSON_TITLES) + ")"
+_cased = "name = upper(name) AND regexp_matches(name, '[A-Z]')"
+_kind = f"""CASE WHEN list_contains({S.strings(L.COUNTRIES + L.CITIES)}, lower(name)) THEN 'LOCATION' WHEN list_contains({S.strings(L.ORG_SUFFIXES)}, trim(lower(string_split(name, ' ')[-1]), '.')) THEN 'ORGANISATION'
+WHEN (regexp_matches(trim(f.before), '{_titles}$') OR regexp_matches(' ' || f.before || ' ', ' {_titles} ') OR regexp_matches(f.after, '^(said|says|told)')) AND (contains(name, ' ') OR trim(f.before) <> '') THEN 'PERSON'
+WHEN regexp_matches(name, '[0-9]|[a-z][A-Z]') THEN 'PRODUCT' WHEN {_cased} AND length(name) BETWEEN 2 AND 6 THEN 'TECHNOLOGY' WHEN regexp_matches(name, '^[A-Z][A-Za-z]* [A-Z][A-Za-z]*$') AND regexp_matches(trim(f.before), '(by|founder|ceo)$') THEN 'PERSON' ELSE 'BRAND_OR_PRODUCT' END"""
+NAMES = rf"""st AS (SELECT DISTINCT doc_id, {S.sentences('text')} AS ss FROM fx_document), sx AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS sid FROM st),
+rr AS (SELECT *, regexp_extract_all(s, {S.q('(?:[;:|.] |[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]|^)' + CAPITALS)}) AS r FROM sx), rx AS (SELECT doc_id, sid, s, unnest(r) AS m, generate_subscripts(r, 1) - 1 AS k FROM rr),
+rw AS (SELECT doc_id, sid, s, k, {_lead} AS leads, regexp_replace(m, '^(?:[;:|.] |[^A-Z])', '') AS raw FROM rx), wd AS (SELECT *, string_split_regex(regexp_replace(raw, '[ \-''’&]+$', ''), '\s+') AS w FROM rw),
+ix AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains({S.strings(L.NON_NAMES)}, lower(w[i]))) AS ok FROM wd), nm AS (SELECT doc_id, sid, s, k, leads, raw, array_to_string(w[ok[1]:ok[-1]], ' ') AS name FROM ix WHERE len(ok) > 0),
+fl AS (SELECT *, max(CASE WHEN NOT leads AND lower(raw) = lower(name) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, lower(name)) AS inside FROM nm WHERE length(name) >= 2),
+kp AS (SELECT *, instr(s, name) AS spot FROM fl WHERE contains(name, ' ') OR NOT (list_contains({S.strings(L.NON_ACRONYMS)}, upper(name)) OR (leads AND NOT contains(raw, ' ') AND inside = 0 AND NOT ({_cased})))),
+gn AS (SELECT doc_id, name, count(*) AS n, list_sort(list(sid))[1:8] AS sids, min({{'sid': sid, 'k': k, 'before': CASE WHEN spot > 0 THEN lower(s[greatest(spot - 30, 1):spot - 1]) ELSE '' END, 'after': CASE WHEN spot > 0 THEN trim(lower(substring(s, spot + length(name), 20))) ELSE '' END}}) AS f FROM kp GROUP BY doc_id, name),
+en AS (SELECT * FROM (SELECT doc_id, name, {_kind} AS kind, n, sids, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f.sid, f.k) AS rank FROM gn) WHERE rank <= 80)"""
+SQL["e3_entities"] = f"WITH {NAMES} SELECT doc_id, name, kind, n, rank FROM en"
+
+
+def named_roles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(about, roles): about has (doc_id, sid, s), every sentence about the target; roles has (doc_id, name, kind, n, rank, role), every name with its role. A
+    target named in the text that no name stands for comes first, and a competitor so named last."""
+    ents = entities(spark, sf_dir).select("project_id", "entity", "pattern").join(rivals(spark, sf_dir), "project_id", "left")
+    d = read_table(spark, sf_dir, "fx_document").select("doc_id", "project_id", "text").dropDuplicates(["doc_id"]).join(F.broadcast(ents), "project_id")  # one row a project
+    known = F.coalesce("rivals", F.expr("array()"))
+    d = d.withColumns({"s": text.sentences(F.col("text")), "target_n": F.regexp_count(text.text_or_empty(F.col("text")), F.col("pattern"))})
+    counts = F.transform(known, lambda r, i: F.struct((i + 1000).alias("i"), r["name"].alias("name"), F.regexp_count(text.text_or_empty(F.col("text")), r["pattern"]).alias("n")))
+    about = F.filter(F.transform("s", lambda x, i: F.struct(i.alias("sid"), x.alias("s"))), lambda y: F.rlike(y["s"], F.col("pattern")))
+    d = stage(d.select("doc_id", F.trim("entity").alias("entity"), "pattern", known.alias("rivals"), "s", about.alias("about"), "target_n", F.filter(counts, lambda c: c["n"] > 0).alias("counts")), "named")
+    e = entity_table(d, "doc_id", "s").join(d.select("doc_id", "entity", "pattern", "rivals", F.transform("about", lambda y: y["sid"]).alias("about")), "doc_id")
+    target = F.rlike("name", F.col("pattern")) | (F.lower("name") == F.lower("entity"))
+    rival = F.exists("rivals", lambda r: F.rlike(F.col("name"), r["pattern"]))
+    role = F.when(target, "target").when(rival, "competitor").when(F.arrays_overlap("sentences", "about"), "related").when(F.col("n") >= 2, "supporting").otherwise("unknown")
+    e = stage(e.select("doc_id", "name", "kind", "n", "rank", role.alias("role")), "roles")
+    plain = F.lit("BRAND_OR_PRODUCT").alias("kind")
+    first = d.where("target_n > 0").join(e.where("role = 'target'"), "doc_id", "left_anti").select("doc_id", F.col("entity").alias("name"), plain, F.col("target_n").alias("n"), F.lit(0).alias("rank"), F.lit("target").alias("role"))
+    seen = e.unionByName(first).select("doc_id", F.lower("name").alias("low"))
+    last = d.select("doc_id", F.explode("counts").alias("c")).select("doc_id", F.col("c.name").alias("name"), plain, F.col("c.n").alias("n"), F.col("c.i").alias("rank"), F.lit("competitor").alias("role"))
+    last = last.withColumn("low", F.lower("name")).join(seen, ["doc_id", "low"], "left_anti").drop("low")
+    return d.select("doc_id", F.explode("about").alias("a")).select("doc_id", "a.*"), e.unionByName(first).unionByName(last)
 
 
 @query
 def e5_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Role of every name: target, related (in a sentence with the target), supporting (twice or more), else unknown."""
-    d = _with_names(spark, sf_dir)
-    about = F.filter(F.transform("s", lambda x, i: F.when(F.rlike(x, F.col("pattern")), i)), lambda i: i.isNotNull())
-    x = d.select("doc_id", "pattern", about.alias("about"), F.explode("names").alias("e"))
-    role = F.when(F.rlike(F.col("e.name"), F.col("pattern")), "target").when(F.arrays_overlap("e.sentences", "about"), "related").when(F.col("e.n") >= 2, "supporting").otherwise("unknown")
-    return x.select("doc_id", F.col("e.name").alias("name"), F.col("e.kind").alias("kind"), role.alias("role"))
+    """Role of every name: target, competitor, related (in a sentence with the target), supporting (twice or more), else unknown."""
+    return named_roles(spark, sf_dir)[1].select("doc_id", "name", "kind", F.col("n").cast("bigint").alias("n"), "role")
+
+
+ROLES = rf"""{NAMES}, rv AS (SELECT project_id, unnest(competitors) AS c, generate_subscripts(competitors, 1) AS i FROM (SELECT DISTINCT project_id, competitors FROM fx_project)),
+rp AS (SELECT project_id, c.name AS name, i, {sql_pattern('c.name', 'c.domain')} AS pat FROM rv WHERE trim(coalesce(c.name, '')) <> ''), dt AS (SELECT DISTINCT doc_id, project_id, coalesce(text, '') AS text FROM fx_document),
+dd AS (SELECT doc_id, project_id, text, trim(entity) AS entity, pat, len({sql_hit('text', 'regexp_extract_all')}) AS tn FROM dt JOIN e USING (project_id)), ab AS (SELECT sx.doc_id, sid, s FROM sx JOIN dd ON sx.doc_id = dd.doc_id WHERE {sql_hit('s')}),
+al AS (SELECT doc_id, list(sid) AS sids FROM ab GROUP BY doc_id), rn AS (SELECT DISTINCT en.doc_id, en.name FROM en JOIN dd ON en.doc_id = dd.doc_id JOIN rp ON rp.project_id = dd.project_id WHERE {sql_hit('en.name').replace('pat)', 'rp.pat)')}),
+r0 AS (SELECT en.doc_id, en.name, kind, n, rank, CASE WHEN {sql_hit('en.name')} OR lower(en.name) = lower(entity) THEN 'target' WHEN rn.name IS NOT NULL THEN 'competitor' WHEN list_has_any(en.sids, coalesce(al.sids, [])) THEN 'related' WHEN n >= 2 THEN 'supporting' ELSE 'unknown' END AS role
+ FROM en JOIN dd ON en.doc_id = dd.doc_id LEFT JOIN al ON al.doc_id = en.doc_id LEFT JOIN rn ON rn.doc_id = en.doc_id AND rn.name = en.name),
+r1 AS (SELECT * FROM r0 UNION ALL SELECT doc_id, entity, 'BRAND_OR_PRODUCT', tn, 0, 'target' FROM dd WHERE tn > 0 AND doc_id NOT IN (SELECT doc_id FROM r0 WHERE role = 'target')),
+rc AS (SELECT doc_id, rp.name, len({sql_hit('text', 'regexp_extract_all').replace('pat)', 'rp.pat)')}) AS n, i FROM dd JOIN rp ON dd.project_id = rp.project_id),
+ro AS (SELECT * FROM r1 UNION ALL SELECT doc_id, name, 'BRAND_OR_PRODUCT', n, 1000 + i, 'competitor' FROM rc WHERE n > 0 AND NOT EXISTS (SELECT 1 FROM r1 WHERE r1.doc_id = rc.doc_id AND lower(r1.name) = lower(rc.name)))"""
+SQL["e5_roles"] = f"WITH {ENT}, {ROLES} SELECT doc_id, name, kind, n, role FROM ro"
+
+
+def told_relations(about: DataFrame, roles: DataFrame) -> DataFrame:
+    others = roles.where("role <> 'target'").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name", "kind"))), lambda x: F.struct(x["name"].alias("name"), x["kind"].alias("kind"))).alias("names"))
+    return relation_table(about.join(others, "doc_id"), "doc_id", "sid", "s", "names")
 
 
 @query
 def e8_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations of every document's target with other names."""
-    d = _with_names(spark, sf_dir).withColumn("pairs", F.transform("others", lambda x: F.struct(x["name"].alias("name"), x["kind"].alias("kind"))))
-    return relation_table(d, "doc_id", "s", "pairs", "pattern")
+    return told_relations(*named_roles(spark, sf_dir))
+
+
+_verb = " UNION ALL ".join(f"SELECT doc_id, sid, {i} AS vi, '{r}' AS relation, string_split(regexp_replace(s, {S.q('(?i)(' + p + ')')}, chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS ps FROM ab" for i, (r, p) in enumerate(L.RELATIONSHIPS.items()))
+TOLD = rf"""hs AS (SELECT ab.doc_id, sid, instr(s, name) AS spot, rank, name, kind FROM ab JOIN ro ON ab.doc_id = ro.doc_id WHERE role <> 'target' AND contains(s, name)), vb AS ({_verb}),
+vx AS (SELECT doc_id, sid, vi, relation, j, string_split(ps[j], chr(2))[1] AS verb, length(replace(array_to_string(ps[1:j - 1], ''), chr(2), '')) + length(string_split(ps[j], chr(2))[1]) AS ends FROM (SELECT *, unnest(range(2, len(ps) + 1)) AS j FROM vb)),
+va AS (SELECT vx.*, spot, rank, name, kind, max(CASE WHEN kind = 'LOCATION' THEN 1 ELSE 0 END) OVER (PARTITION BY vx.doc_id, vx.sid, vi, j) AS places FROM vx JOIN hs ON vx.doc_id = hs.doc_id AND vx.sid = hs.sid WHERE spot >= ends AND NOT contains(verb, name)),
+vr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sid, vi, j ORDER BY spot, rank) AS o FROM va WHERE relation <> 'location' OR places = 0 OR kind = 'LOCATION'),
+cm AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sid ORDER BY rank) AS o FROM hs WHERE NOT EXISTS (SELECT 1 FROM vx WHERE vx.doc_id = hs.doc_id AND vx.sid = hs.sid)),
+tl AS (SELECT doc_id, sid, vi, j, o, relation, name, kind FROM vr WHERE o <= 2 UNION ALL SELECT doc_id, sid, 0, 0, o, 'co-mentioned', name, kind FROM cm WHERE o <= 2),
+rl AS (SELECT doc_id, relation, name AS object, kind FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, relation, lower(name) ORDER BY sid, vi, j, o) AS first FROM tl) WHERE first = 1)"""
+SQL["e8_relations"] = f"WITH {ENT}, {ROLES}, {TOLD} SELECT doc_id, relation, object, kind FROM rl"
 
 
 @query
 def m11_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Related names, typed relations and their kinds; 0 without a sentence about the entity. Schema properties aren't in the tables and count as absent."""
-    roles = e5_roles(spark, sf_dir).groupBy("doc_id").agg(F.sum(_f(F.col("role") == "related")).alias("related"))
-    rel = e8_relations(spark, sf_dir).where("relation <> 'co-mentioned'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("typed"), F.count_distinct("relation").alias("kinds"))
-    x = e1_mentions(spark, sf_dir).join(roles, "doc_id", "left").join(rel, "doc_id", "left").na.fill(0)
+    """Related names and competitors, typed relations, and kinds of the names; 0 without a sentence about the entity. Schema properties aren't in the tables
+    and count as absent."""
+    about, roles = named_roles(spark, sf_dir)
+    near = F.col("role").isin("related", "competitor")
+    r = roles.groupBy("doc_id").agg(F.sum(_f(near)).alias("related"), F.count_distinct(F.when(near, F.col("kind"))).alias("kinds"))
+    rel = told_relations(about, roles).where("relation <> 'co-mentioned'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("typed"))
+    docs = documents(spark, sf_dir, "project_id").join(entities(spark, sf_dir).select("project_id"), "project_id").select("doc_id")
+    x = docs.join(about.select("doc_id", F.lit(1).alias("said")).distinct(), "doc_id", "left").join(r, "doc_id", "left").join(rel, "doc_id", "left").na.fill(0)
     score = 40 * F.least(F.lit(1.0), F.col("related") / 8) + 30 * F.least(F.lit(1.0), F.col("typed") / 4) + 15 * F.least(F.lit(1.0), F.col("kinds") / 3)
-    return x.select("doc_id", F.col("related").cast("bigint").alias("related"), "typed", rounded(F.when(F.col("mentions") > 0, score).otherwise(0.0)).alias("score"))
+    return x.select("doc_id", F.col("related").cast("bigint").alias("related"), "typed", rounded(F.when(F.col("said") > 0, score).otherwise(0.0)).alias("score"))
+
+
+SQL["m11_relationships"] = f"""WITH {ENT}, {ROLES}, {TOLD}, rg AS (SELECT doc_id, count(*) AS related, count(DISTINCT kind) AS kinds FROM ro WHERE role IN ('related', 'competitor') GROUP BY doc_id), rt AS (SELECT doc_id, count(*) AS typed FROM rl WHERE relation <> 'co-mentioned' GROUP BY doc_id)
+SELECT dd.doc_id, coalesce(related, 0) AS related, coalesce(typed, 0) AS typed, round(CASE WHEN dd.doc_id IN (SELECT doc_id FROM ab) THEN 40 * least(1.0, coalesce(related, 0) / 8) + 30 * least(1.0, coalesce(typed, 0) / 4) + 15 * least(1.0, coalesce(kinds, 0) / 3) ELSE 0.0 END, 4) AS score
+FROM dd LEFT JOIN rg ON rg.doc_id = dd.doc_id LEFT JOIN rt ON rt.doc_id = dd.doc_id"""
 
 
 def _passage_sims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

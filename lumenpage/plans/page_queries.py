@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenpage.config import lexicons as L
 from lumenpage.config import weights as W
 from lumenpage.functions import queries as qf
-from lumenpage.functions import tags, text
+from lumenpage.functions import tags, text, urls
 from lumenpage.operators import blocks as B
 from lumenpage.operators.similarity import cosine, sim_to_score, tfidf_similarity
 from lumenpage.plans import sql as S
@@ -173,25 +173,33 @@ c AS (SELECT doc_id, w, {' + '.join(_fc.values())} AS items, {' + '.join(f'CASE
 SELECT doc_id, CAST(items AS BIGINT) AS items, CAST(kinds AS BIGINT) AS kinds, round(CASE WHEN w >= 30 THEN greatest(0.0, least(100.0, 0.8 * least(100.0, items / w * 100 / {W.FACT_TARGET} * 100) + 0.2 * least(1.0, kinds / 5) * 100)) END, 4) AS score FROM c"""
 
 
+def _outside(t: Column, url: Column) -> Column:
+    """Distinct hosts of the URLs in a text that are not the page's own."""
+    hosts = F.transform(urls.extract_urls(t), urls.link_domain)
+    return F.array_distinct(F.filter(hosts, lambda h: (h != "") & (h != urls.hostname(F.coalesce(url, F.lit(""))))))
+
+
 @query
 def m7_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a page's claims with a source; NULL without claims."""
+    """Share of a page's claims with a source, distinct hosts of other sites, and a heading for references; NULL without claims. The tables hold no links,
+    so hosts are those of URLs written in the text."""
     b = B.block_table(spark, sf_dir)
     p = b.where("type = 'p'").select("doc_id", F.col("ext_links") > 0, text.sentences(F.col("text")).alias("s")).toDF("doc_id", "linked", "s")
     claims = F.filter("s", tags.is_claim)
     counted = p.select("doc_id", F.size(claims).alias("c"), F.when(F.coalesce("linked", F.lit(False)), F.size(claims)).otherwise(F.size(F.filter(claims, tags.is_attributed))).alias("a"))
     counted = counted.groupBy("doc_id").agg(F.sum("c").alias("claims"), F.sum("a").alias("attributed"))
     refs = b.where("type = 'heading'").groupBy("doc_id").agg(F.max(tags.heads_references(F.col("text")).cast("int")).alias("refs"))
-    x = documents(spark, sf_dir).join(counted, "doc_id", "left").join(refs, "doc_id", "left")
-    score = 60.0 * F.col("attributed") / F.col("claims") + 15.0 * F.coalesce("refs", F.lit(0))
-    return x.select("doc_id", F.coalesce("claims", F.lit(0)).alias("claims"), F.coalesce("attributed", F.lit(0)).alias("attributed"), rounded(F.when(F.col("claims") > 0, clamp(score))).alias("score"))
+    docs = read_table(spark, sf_dir, "fx_document").select("doc_id", F.size(_outside(F.col("text"), F.col("url"))).alias("domains")).dropDuplicates(["doc_id"])
+    x = docs.join(counted, "doc_id", "left").join(refs, "doc_id", "left")
+    score = 60.0 * F.col("attributed") / F.col("claims") + 25.0 * F.least(F.lit(1.0), F.col("domains") / 5) + 15.0 * F.coalesce("refs", F.lit(0))
+    return x.select("doc_id", F.coalesce("claims", F.lit(0)).alias("claims"), F.coalesce("attributed", F.lit(0)).alias("attributed"), F.col("domains").cast("bigint").alias("domains"), rounded(F.when(F.col("claims") > 0, clamp(score))).alias("score"))
 
 
 _claim = " OR ".join(S.like("s", p) for p in [S.one_of(L.SUPERLATIVES), *(L.FACTS[k] for k in L.CLAIM_FACTS)])
-SQL["m7_attribution"] = f"""WITH {BLOCKS}, p AS (SELECT doc_id, ext_links > 0 AS linked, list_filter({S.sentences('text')}, lambda s: {_claim}) AS cl FROM b WHERE type = 'p'),
+SQL["m7_attribution"] = rf"""WITH {BLOCKS}, p AS (SELECT doc_id, ext_links > 0 AS linked, list_filter({S.sentences('text')}, lambda s: {_claim}) AS cl FROM b WHERE type = 'p'),
 c AS (SELECT doc_id, sum(len(cl)) AS claims, sum(CASE WHEN linked THEN len(cl) ELSE len(list_filter(cl, lambda s: {S.like('s', S.one_of(L.ATTRIBUTION))})) END) AS attributed FROM p GROUP BY doc_id),
-r AS (SELECT doc_id, max(CASE WHEN {S.like('text', '(?i)' + L.REFERENCES_HEADING)} THEN 1 ELSE 0 END) AS refs FROM b WHERE type = 'heading' GROUP BY doc_id), d AS (SELECT DISTINCT doc_id FROM fx_document)
-SELECT d.doc_id, CAST(coalesce(claims, 0) AS BIGINT) AS claims, CAST(coalesce(attributed, 0) AS BIGINT) AS attributed, round(CASE WHEN claims > 0 THEN greatest(0.0, least(100.0, 60.0 * attributed / claims + 15.0 * coalesce(refs, 0))) END, 4) AS score
+r AS (SELECT doc_id, max(CASE WHEN {S.like('text', '(?i)' + L.REFERENCES_HEADING)} THEN 1 ELSE 0 END) AS refs FROM b WHERE type = 'heading' GROUP BY doc_id), d AS (SELECT DISTINCT doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '(?i:https?)://[^\s<>")\]]+'), lambda u: regexp_replace(lower(string_split(regexp_replace(u, '[.,;:]+$', ''), '/')[3]), '^www\.', '')), lambda h: h <> '' AND h <> {S.host("coalesce(url, '')")}))) AS domains FROM fx_document)
+SELECT d.doc_id, CAST(coalesce(claims, 0) AS BIGINT) AS claims, CAST(coalesce(attributed, 0) AS BIGINT) AS attributed, domains, round(CASE WHEN claims > 0 THEN greatest(0.0, least(100.0, 60.0 * attributed / claims + 25.0 * least(1.0, domains / 5) + 15.0 * coalesce(refs, 0))) END, 4) AS score
 FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN r ON d.doc_id = r.doc_id"""
 
 

@@ -135,8 +135,9 @@ def s7_collected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = read_table(spark, sf_dir, "fx_document").select("doc_id", "project_id", "kind", "origin").distinct()
     capped = (F.col("kind") == "external") & (F.coalesce("origin", F.lit("")) == "url")
-    rank = F.row_number().over(Window.partitionBy("project_id", capped).orderBy("doc_id"))
-    return d.withColumn("r", rank).where(~capped | (F.col("r") <= 15)).select("doc_id", "project_id", "kind")
+    rank = F.row_number().over(Window.partitionBy("project_id").orderBy("doc_id"))  # the limit goes below the shuffle, so no project fills a task
+    first = d.where(capped).withColumn("r", rank).where("r <= 15").drop("r")
+    return d.where(~capped).unionByName(first).select("doc_id", "project_id", "kind")
 
 
 SQL["s7_collected_sources"] = """WITH d AS (SELECT DISTINCT doc_id, project_id, kind, kind = 'external' AND coalesce(origin, '') = 'url' AS capped FROM fx_document),

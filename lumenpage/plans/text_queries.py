@@ -1,4 +1,4 @@
-"""Queries of the text, F.col("url"), query and tagging functions over whole tables."""
+"""Queries of the text, URL, query and tagging functions over whole tables."""
 
 from __future__ import annotations
 
@@ -72,7 +72,7 @@ over_documents("t10_ui_clean", lambda: {"digest": F.md5(text.ui_clean(F.col("tex
 over_documents(
     "t12_slugify", lambda: {"slug": text.slugify(F.col("title"))}, {"slug": "coalesce(nullif(left(regexp_replace(regexp_replace(coalesce(title, ''), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 50), ''), 'entity')"}
 )
-over_documents("t13_stable_hash", lambda: {"digest": F.sha1(F.concat(text.text_or_empty(F.col("title")), F.lit("\x01"), text.text_or_empty(F.col("url")), F.lit("\x01")))}, {"digest": "sha1(coalesce(title, '') || chr(1) || coalesce(url, '') || chr(1))"})
+over_documents("t13_stable_hash", lambda: {"digest": F.sha1(F.concat(text.text_or_empty(F.col("title")), F.lit("\x00"), text.text_or_empty(F.col("url")), F.lit("\x00")))}, {"digest": r"sha1(encode(coalesce(title, '')) || '\x00'::BLOB || encode(coalesce(url, '')) || '\x00'::BLOB)"})
 _fill = lambda: sum((text.phrase_count(F.col("text"), p) for p in L.FILLER_PHRASES[1:]), text.phrase_count(F.col("text"), L.FILLER_PHRASES[0]))
 _sfill = " + ".join(f"(length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), {S.q(p)}, ''))) // {len(p)}" for p in L.FILLER_PHRASES)
 over_documents("t14_phrase_counts", lambda: {"fillers": _fill().cast("bigint")}, {"fillers": f"CAST({_sfill} AS BIGINT)"})
@@ -103,7 +103,7 @@ def _source_sql(url: str, website: str, rivals: str) -> str:
 
 
 def u7_classify_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kind of source of every document, by its F.col("url") and its project's sites. Projects are of fixed number, so their side is small."""
+    """Kind of source of every document, by its URL and its project's sites. Projects are of fixed number, so their side is small."""
     docs = read_table(spark, sf_dir, "fx_document").select("doc_id", "project_id", "url").distinct()
     projects = read_table(spark, sf_dir, "fx_project").select("project_id", "website", F.transform(F.coalesce("competitors", F.expr("array()")), lambda c: c["domain"]).alias("rivals")).distinct()
     return docs.join(projects, "project_id").select("doc_id", urls.classify_source(F.col("url"), F.col("website"), F.col("rivals")).alias("kind"))

@@ -14,10 +14,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir or set as the context's checkpoint folder; a temporary one only where neither is set and
+    all runs in one process. A cluster without a shared folder is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        app = spark.sparkContext.applicationId
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if app not in _LOCAL:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="lumenpage-")
             spark.sparkContext.setCheckpointDir(_LOCAL[app])

@@ -5,7 +5,7 @@ from lumenpage.functions import queries as qf
 from lumenpage.functions import text, urls
 from lumenpage.operators import blocks as B
 from lumenpage.operators.answers_io import competitor_lines, first_json, printable, unsafe_reason, url_lines
-from lumenpage.operators.entities import classify, find_names, find_relations, name_pattern
+from lumenpage.operators.entities import entity_table, name_pattern, relation_table
 from lumenpage.operators.html import extract_documents, parse_page
 from lumenpage.operators.similarity import cosine, tfidf_similarity
 from lumenpage.plans.authority_queries import roll_up
@@ -62,13 +62,40 @@ def test_edges(spark):
     assert [tuple(x) for x in one(competitor_lines(F.lit("Acme, acme.example\n\nBolt")))] == [("Acme", "acme.example"), ("Bolt", "")]
 
 
+def test_name_patterns(spark):
+    """Names that end in marks, names inside longer words, spellings of blanks, and case for short names."""
+    names = [("Yahoo!", ""), ("C++", ""), ("Acme Ltd", "https://www.acmeworks.example"), ("", "x"), (None, None)]
+    said = "Yahoo! and Yahoo!Mail, C++ or c++x; Acme-Ltd, acmeworks' site, ACME, Acmed, éAcme, _acme"
+    rows = spark.createDataFrame([(i, *r, said) for i, r in enumerate(names)], "i int, n string, w string, s string")
+    got = rows.select("i", name_pattern(F.col("n"), F.col("w")).alias("p"), "s").select("i", F.regexp_count("s", F.col("p")).alias("c")).orderBy("i").collect()
+    assert [r.c for r in got] == [1, 1, 3, None, None]
+
+
 def test_entities(spark):
-    rows = spark.createDataFrame([("Acme Ltd", "https://www.acmeworks.example"), ("IBM", ""), ("", "x"), (None, None)], "n string, w string").select(name_pattern(F.col("n"), F.col("w")).alias("p")).collect()
-    assert [r.p for r in rows] == [r"(?i)\b(?:acmeworks|Acme[\s-]+Ltd|Acme)\b", r"\b(?:IBM)\b", None, None]
-    names = find_names(["The Acme Group met Dana Reed in Auckland.", "Acme sells IBM and NASA parts.", "However Bolt left.", "They met Bolt."])
-    assert ("Auckland", "LOCATION") in {(n, k) for n, k, _, _ in names} and "However" not in {n for n, *_ in names}
-    assert classify("Acme Group", "x") == "ORGANISATION" and classify("Dana Reed", "founded by Dana Reed") == "PERSON"
-    assert find_relations("Acme partnered with Bolt and is based in Paris.", [("Bolt", "BRAND_OR_PRODUCT"), ("Paris", "LOCATION")]) == [("partnership", "Bolt", "BRAND_OR_PRODUCT"), ("partnership", "Paris", "LOCATION"), ("location", "Paris", "LOCATION")]
+    told = [
+        ["The Orrin Group met Dana Reed in Auckland.", "Orrin sells IBM and NASA parts.", "However Bolt left.", "They met Bolt.", "Mira fell; Mira rose.", "Bread by Tova Lund. We met the ceo Karo Venn."],
+        ["Lumo2 and SnapKit."], [], None,
+    ]
+    df = spark.createDataFrame(list(enumerate(told)), "id int, s array<string>")
+    rows = {(r.id, r.name): r for r in entity_table(df, "id", "s").collect()}
+    kinds = {n: r.kind for (i, n), r in rows.items() if i == 0}
+    assert kinds["Orrin Group"] == "ORGANISATION" and kinds["Dana Reed"] == "BRAND_OR_PRODUCT" and kinds["Auckland"] == "LOCATION" and kinds["IBM"] == "TECHNOLOGY" and kinds["Tova Lund"] == "PERSON" and kinds["Karo Venn"] == "PERSON"
+    assert "However" not in kinds and "Mira" not in kinds and rows[0, "Bolt"].n == 2 and rows[0, "Bolt"].sentences == [2, 3] and rows[0, "Bolt"]["rank"] == 1
+    assert {n: r.kind for (i, n), r in rows.items() if i == 1} == {"Lumo2": "PRODUCT", "SnapKit": "PRODUCT"} and {i for i, _ in rows} == {0, 1}
+    assert entity_table(df.limit(0), "id", "s").count() == 0
+
+
+def test_relations(spark):
+    names = [("Bolt", "BRAND_OR_PRODUCT"), ("Paris", "LOCATION"), ("Vex", "PRODUCT")]
+    df = spark.createDataFrame(
+        [(1, 0, "Orrin partnered with Bolt and is based in Paris.", names), (1, 1, "Vex beside Orrin and Paris.", names), (1, 2, "Orrin partners with Bolt again.", names), (2, 0, "Orrin alone.", names), (3, 0, None, None)],
+        "id int, sid int, s string, names array<struct<name:string,kind:string>>",
+    )
+    rows = sorted((r.id, r.relation, r.object, r.kind) for r in relation_table(df, "id", "sid", "s", "names").collect())
+    assert rows == [
+        (1, "co-mentioned", "Paris", "LOCATION"), (1, "co-mentioned", "Vex", "PRODUCT"), (1, "location", "Paris", "LOCATION"),
+        (1, "partnership", "Bolt", "BRAND_OR_PRODUCT"), (1, "partnership", "Paris", "LOCATION"),
+    ]
 
 
 def test_similarity(spark):
