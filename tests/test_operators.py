@@ -74,7 +74,7 @@ def test_name_patterns(spark):
 def test_entities(spark):
     told = [
         ["The Orrin Group met Dana Reed in Auckland.", "Orrin sells IBM and NASA parts.", "However Bolt left.", "They met Bolt.", "Mira fell; Mira rose.", "Bread by Tova Lund. We met the ceo Karo Venn."],
-        ["Lumo2 and SnapKit."], [], None,
+        ["We use Lumo2 and SnapKit."], [], None,
     ]
     df = spark.createDataFrame(list(enumerate(told)), "id int, s array<string>")
     rows = {(r.id, r.name): r for r in entity_table(df, "id", "s").collect()}
