@@ -1,12 +1,14 @@
 """Problem 8: vector bin packing of items into containers of fixed capacity.
 
 Every item has three sizes: tokens, segments (one each) and loss-bearing tokens, those after the
-leading comment header, which serves as the prompt. A container must respect all three limits.
+leading comment header, which serves as the prompt. A container must respect all three limits, and each of them
+decides for some containers: short items run out of segments, items without header out of loss-bearing tokens, others out of tokens.
 The dot-product heuristic fills one container at a time with the fitting item whose sizes align best
-with the room left (weights are the mean demand on each limit).
+with the room left (weights are the mean demand on each limit). Items of equal sizes are one class with a count, and classes
+are kept in order of tokens, so that those which no longer fit are cut off by bisection.
 
-Items are hashed into shards of about SHARD items, each packed by one task; the number of shards
-follows the number of items, so a task's memory doesn't grow. Containers left under-filled are
+Items are hashed into shards of about SHARD items, each packed by itself; the number of shards
+follows the number of items, so the time and memory of a shard don't grow. Containers left under-filled are
 dissolved and their items packed again together, in far fewer shards.
 """
 
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 from lumenpage.llm.tokens import NAME, TOKENIZERS, encoder
 from lumenpage.sources import ship_package, stage
 
-CAPACITY, SEGMENTS, LOSS = 4096, 64, 4096
-SHARD = 8192
+CAPACITY, SEGMENTS, LOSS = 4096, 32, 4080
+SHARD = 2048
+TASKS = 20_000  # most tasks of a step; more shards than that share tasks
 GOOD_FILL = 0.985
 
 HEADER = re.compile(r"﻿?(?:[ \t]*(?://|#|/\*|\*|--|<!--|;;)[^\n]*(?:\n|$)|[ \t\r]*\n)*")
@@ -64,30 +67,33 @@ def as_items(sizes: DataFrame, rec_id: str, capacity: int, loss: int) -> DataFra
 
 
 def dot_product_pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """The container number of each item; sizes is items x limits. Each item must fit alone."""
-    need = sizes / limits
-    weight = need.mean(axis=0) + 1e-9
-    order = np.lexsort(tuple(-need[:, k] for k in range(need.shape[1] - 1, -1, -1)))
-    need, n = need[order], len(order)
-    bins, left, number = np.full(n, -1), np.arange(n), 0
-    while len(left):
-        room, rest = np.ones(need.shape[1]), left
-        first = True
+    """The container number of each item; sizes is items x limits, whole numbers. Each item must fit alone."""
+    kinds, kind_of = np.unique(sizes, axis=0, return_inverse=True)  # in order of the first size
+    members = np.argsort(kind_of, kind="stable")
+    start = np.concatenate([[0], np.cumsum(np.bincount(kind_of, minlength=len(kinds)))])
+    used = start[:-1].copy()
+    need = kinds / limits
+    weight = (sizes / limits).mean(axis=0) + 1e-9
+    live = np.arange(len(kinds))
+    bins, number = np.full(len(sizes), -1), 0
+    while len(live):
+        room, pick, spent = np.ones(need.shape[1]), len(live) - 1, False
         while True:
-            fits = (need[rest] <= room + 1e-12).all(axis=1)
-            rest = rest[fits]
-            if not len(rest):
+            k = live[pick]
+            bins[members[used[k]]] = number
+            used[k] += 1
+            spent |= used[k] == start[k + 1]
+            room = room - need[k]
+            top = np.searchsorted(need[live, 0], room[0] + 1e-12, "right")
+            rest = live[:top]
+            score = np.where((used[rest] < start[rest + 1]) & (need[rest] <= room + 1e-12).all(axis=1), need[rest] @ (weight * room), -1.0)
+            if not len(score) or score.max() < 0:
                 break
-            pick = 0 if first else int(np.argmax(need[rest] @ (weight * room)))
-            first = False
-            bins[rest[pick]] = number
-            room = room - need[rest[pick]]
-            rest = np.delete(rest, pick)
-        left = left[bins[left] < 0]
+            pick = int(len(score) - 1 - np.argmax(score[::-1]))
+        if spent:
+            live = live[used[live] < start[live + 1]]
         number += 1
-    out = np.empty(n, dtype=np.int64)
-    out[order] = bins
-    return out
+    return bins
 
 
 def pack(items: DataFrame, rec_id: str, capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int = LOSS, shard: int = SHARD) -> DataFrame:
@@ -106,13 +112,13 @@ def pack(items: DataFrame, rec_id: str, capacity: int = CAPACITY, segments: int
             pdf = pdf.sort_values([rec_id, "part_no"], ignore_index=True)
             sizes = np.stack([pdf.n_tokens, np.ones(len(pdf)), pdf.loss_tokens], axis=1).astype(float)
             number = dot_product_pack(sizes, limits)
-            used = np.zeros(number.max() + 1)
-            np.add.at(used, number, sizes[:, 0])
+            used = np.zeros((number.max() + 1, 3))
+            np.add.at(used, number, sizes)
             pdf["bin_id"] = (np.int64(level) << 60) + (np.int64(key[0]) << 24) + number
-            pdf["fill"] = used[number] / capacity
+            pdf["fill"] = (used / limits).max(axis=1)[number]
             return pdf[[rec_id, "part_no", "start_token", "n_tokens", "loss_tokens", "bin_id", "fill"]]
 
-        keyed = rows.withColumn("shard", F.pmod(F.xxhash64(rec_id, "part_no"), F.lit(shards)))
+        keyed = rows.withColumn("shard", F.pmod(F.xxhash64(rec_id, "part_no"), F.lit(shards))).repartition(min(2 * shards, TASKS), "shard")  # a number given is not coalesced
         return keyed.groupBy("shard").applyInPandas(one, schema)
 
     first = stage(packed(items, 0), "packed")

@@ -1,12 +1,11 @@
 """Problem 9: texts over a limit, cut into pieces at natural boundaries, with overlap.
 
-A text is handled in ranges of RANGE characters. A worker sees one range and a halo, starts at a place
-where words of the tokenizer surely begin, and lists the range's boundaries: top-level blank lines,
+Texts are split into ranges of RANGE characters before any worker sees them, so no step needs a whole file. A worker sees one range and
+a halo, starts at a place where words of the tokenizer surely begin, and lists the range's boundaries: top-level blank lines,
 blank lines, line starts, sentence ends, word ends, and, within words of very many tokens, token ends.
-The boundary tables of a text are stitched: a running sum of the ranges' lengths gives every boundary
-its offset in tokens. The number of pieces follows from the total, and cut k is the best boundary
-in the window before k equal shares, so all cuts are found independently. Pieces are then
-read from the range that holds their start; no step after the first needs a whole text.
+The boundary tables of SPAN ranges are stitched, and a running sum of the lengths gives every boundary
+its offset in tokens. Cuts are chosen along a span from window to window, with about as few pieces as can be; a text longer than a span is
+also cut where spans meet. Pieces are then put together from the ranges they touch, by offset.
 """
 
 from __future__ import annotations
@@ -23,9 +22,10 @@ from lumenpage.sources import ship_package, stage
 
 LIMIT, OVERLAP = 1024, 64
 RANGE, HALO = 65_536, 512
-GAP = 48  # tokens after which a boundary is listed even in text that has none by nature
-RESERVE = 12  # tokens kept free, since a cut can change how the white space around it is split
-WIDE = 16  # a piece has at most WIDE characters for each token of the limit
+SPAN = 64  # ranges whose boundaries one task sees together
+GAP = 24  # tokens after which a boundary is listed even in text that has none by nature
+RESERVE = 4  # tokens kept free, since a cut can change how the white space around it is split
+EXTRA = 0.02  # share by which the pieces may outnumber the least number for the sake of better cuts
 KINDS = ("token", "word", "sentence", "line", "blank line", "section")
 
 SYNC = re.compile(r"(?<=\S)(?=\s)")
@@ -41,12 +41,6 @@ def _takes_over(part: str) -> int:
     return m.start() if m else min(len(part), HALO)
 
 
-def _ranges(text: str, chunk: int):
-    """(range number, first character, slice with a halo, length without halo) for each range of a text."""
-    for no, at in enumerate(range(0, max(len(text), 1), chunk)):
-        yield no, at, text[at : at + chunk + HALO]
-
-
 class _Lengths(dict):
     """Tokens of a word, remembered up to a bound."""
 
@@ -68,7 +62,7 @@ def boundaries(chunk: str, lengths: _Lengths, enc) -> tuple[int, np.ndarray, np.
     """(cost, positions, costs before them, kinds) of one range, which starts and ends at word starts."""
     words = split_words(chunk)
     size = np.fromiter(map(len, words), np.int64, len(words))
-    cost = np.maximum(np.fromiter(map(lengths.__getitem__, words), np.int64, len(words)), -(-size // WIDE))
+    cost = np.fromiter(map(lengths.__getitem__, words), np.int64, len(words))
     ends, cum = np.cumsum(size), np.cumsum(cost)
     total = int(cum[-1]) if len(words) else 0
     if not total:
@@ -98,77 +92,128 @@ def boundaries(chunk: str, lengths: _Lengths, enc) -> tuple[int, np.ndarray, np.
     return total, pos[keep], costs[keep], kinds[keep]
 
 
-def boundary_table(df: DataFrame, rec_id: str, text: str, limit: int, path: str = TOKENIZERS, name: str = NAME, chunk: int = RANGE) -> DataFrame:
-    """(rec, range_no, cost, pos, cum, kind) of every range; the arrays are left out for a text that is one range within the limit."""
-    ship_package(df.sparkSession)
-    kind = df.schema[rec_id].dataType.simpleString()
+def text_ranges(df: DataFrame, rec_id: str, text: str, chunk: int) -> DataFrame:
+    """(rec, range_no, chars, part) of every range of every text, each once; part has a halo at its end. Made by the engine: long texts are first split
+    into stretches of 256 ranges, so that finding an offset never walks through a whole file."""
+    base = df.select(F.col(rec_id).alias("rec"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("chars", F.length("t").cast("bigint"))
+    short = base.where(F.col("chars") <= chunk).select("rec", F.lit(0).alias("range_no"), "chars", F.col("t").alias("part"))
+    many = lambda n, size: F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1)
+    wide = 256 * chunk
+    far = base.where(F.col("chars") > chunk).select("rec", "chars", "t", F.explode(many(F.col("chars"), wide)).alias("w"))
+    far = far.select("rec", "chars", "w", F.substring("t", F.col("w") * wide + 1, F.lit(wide + HALO)).alias("t"))
+    far = far.select("rec", "chars", "w", "t", F.explode(many(F.least(F.length("t"), F.col("chars") - F.col("w").cast("bigint") * wide, F.lit(wide)), chunk)).alias("r"))
+    far = far.select("rec", (F.col("w") * 256 + F.col("r")).alias("range_no"), "chars", F.substring("t", F.col("r") * chunk + 1, F.lit(chunk + HALO)).alias("part"))
+    return short.unionByName(far).dropDuplicates(["rec", "range_no"])
+
+
+def boundary_table(ranges: DataFrame, limit: int, path: str = TOKENIZERS, name: str = NAME, chunk: int = RANGE) -> DataFrame:
+    """ranges with (cost, pos, cum, kind): the range's tokens and its boundaries, of which a text that is one range within the limit needs none."""
+    ship_package(ranges.sparkSession)
+    kind = ranges.schema["rec"].dataType.simpleString()
 
     def detect(batches):
         enc = encoder(path, name)
         lengths = _Lengths(enc)
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for rec, t in zip(b.column(0).to_pylist(), b.column(1)):
-                t = t.as_py() or ""
-                for no, at, part in _ranges(t, chunk):
-                    first = 0 if no == 0 else _takes_over(part)
-                    last = len(part) if at + chunk >= len(t) else chunk + _takes_over(part[chunk:])
-                    cost, pos, cum, kinds = boundaries(part[first:last], lengths, enc)
-                    if len(t) <= chunk and cost <= limit - RESERVE:
-                        pos = cum = kinds = ()
-                    for c, v in zip(cols, (rec, no, cost, pos + (at + first) if len(pos) else [], cum, kinds)):
-                        c.append(v)
-            types = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int8())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["rec", "range_no", "cost", "pos", "cum", "kind"])
+            cols: list[list] = [[] for _ in range(4)]
+            for no, chars, part in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+                at = no * chunk
+                first = 0 if no == 0 else _takes_over(part)
+                last = len(part) if at + chunk >= chars else chunk + _takes_over(part[chunk:])
+                cost, pos, cum, kinds = boundaries(part[first:last], lengths, enc)
+                if chars <= chunk and cost <= limit:
+                    pos = cum = kinds = ()
+                elif no:  # where this range takes over is a boundary too
+                    pos, cum, kinds = (np.concatenate([[x], y]) for x, y in ((0, pos), (0, cum), (1, kinds)))
+                for c, v in zip(cols, (cost, pos + (at + first) if len(pos) else [], cum, kinds)):
+                    c.append(v)
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int8())]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), *(pa.array(c, t) for c, t in zip(cols, types))], ["rec", "range_no", "chars", "part", "cost", "pos", "cum", "kind"])
+
+    return ranges.mapInArrow(detect, f"rec {kind}, range_no int, chars bigint, part string, cost bigint, pos array<bigint>, cum array<bigint>, kind array<tinyint>")
+
 
-    return df.select(F.col(rec_id).alias("rec"), F.col(text).alias("t")).mapInArrow(detect, f"rec {kind}, range_no int, cost bigint, pos array<bigint>, cum array<bigint>, kind array<tinyint>")
+def cut_span(pos: np.ndarray, cum: np.ndarray, kind: np.ndarray, total: int, room: int, body: int) -> list[int]:
+    """Numbers of the boundaries at which a span of `total` tokens is cut into pieces of at most `body` tokens, the first of at most `room`. A cut is the last
+    one of the best kind in a window before the piece is full; the windows share the tokens that the least number of pieces leaves free."""
+    cuts: list[int] = []
+    done, at = 0, 0
+    while total - done > room and at < len(pos):
+        left = total - done
+        rest = -(-(left - room) // body)
+        free = room + rest * body - left + int(EXTRA * left)
+        width = min(room // 3, free, max(2 * GAP, 2 * free // rest))
+        low, high = np.searchsorted(cum, done + room - width, "left"), np.searchsorted(cum, done + room, "right")
+        low = max(int(low), at)
+        if high <= low:  # no boundary in the window: the nearest one before it, else the next one after
+            i = max(int(high) - 1, at)
+        else:
+            i = int(high) - 1 - int(np.argmax(kind[low:high][::-1]))
+        cuts.append(i)
+        done, at, room = int(cum[i]), i + 1, body
+    return cuts
 
 
-def plan_pieces(table: DataFrame, limit: int, overlap: int) -> DataFrame:
-    """(rec, piece_no, start, until, kind): the cuts of every text; until is NULL for the last piece."""
+def plan_pieces(table: DataFrame, limit: int, overlap: int, chunk: int = RANGE) -> DataFrame:
+    """(rec, chars, piece_no, start, until, kind): the pieces of every text over the limit; a text of several ranges within the limit is one piece."""
     body = limit - overlap - RESERVE
-    slack = max(GAP + 1, body // 4)
-    step = body - slack
+    rec = table.schema["rec"].dataType.simpleString()
     w = Window.partitionBy("rec")
-    stitched = table.dropDuplicates(["rec", "range_no"]).withColumns(
-        {"base": F.coalesce(F.sum("cost").over(w.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("cost").over(w)}
-    )
-    many = stitched.where(F.col("total") > limit - RESERVE).withColumn("n", F.ceil(F.col("total") / step))
-    each = many.select("rec", "total", "n", "base", F.explode(F.arrays_zip("pos", "cum", "kind")).alias("b")).select("rec", "total", "n", (F.col("base") + F.col("b.cum")).alias("c"), "b.pos", "b.kind")
-    share = F.col("total") / F.col("n")
-    each = each.withColumn("k", F.ceil(F.col("c") / share).cast("int"))
-    inside = (F.col("k") >= 1) & (F.col("k") < F.col("n")) & (F.col("c") > F.col("k") * share - slack)
-    cuts = each.where(inside).groupBy("rec", "k").agg(F.max(F.struct("kind", "c", "pos")).alias("m")).select("rec", "k", F.col("m.pos").alias("at"), F.col("m.kind").alias("kind"))
-    starts = cuts.unionByName(stitched.where("range_no = 0").select("rec", F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("at"), F.lit(5).cast("tinyint").alias("kind")))
-    order = Window.partitionBy("rec").orderBy("at", "k")
-    return starts.select("rec", (F.row_number().over(order) - 1).alias("piece_no"), F.col("at").alias("start"), F.lead("at").over(order).alias("until"), "kind")
+    cut = table.where((F.col("chars") > chunk) | (F.col("cost") > limit)).select("rec", "range_no", "chars", "cost", "pos", "cum", "kind")
+    cut = cut.withColumn("total", F.sum("cost").over(w))
+    span = F.floor(F.col("range_no") / SPAN).cast("int")
+    spans = cut.groupBy("rec", span.alias("span")).agg(F.first("chars").alias("chars"), F.first("total").alias("total"), F.sort_array(F.collect_list(F.struct("range_no", "cost", "pos", "cum", "kind"))).alias("ranges"))
+
+    def choose(batches):
+        for b in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for r, no, chars, total, ranges in zip(*(b.column(i).to_pylist() for i in range(5))):
+                sizes = [x["cost"] for x in ranges]
+                base = np.cumsum([0, *sizes])
+                pos = np.concatenate([np.array(x["pos"], np.int64) for x in ranges])
+                cum = np.concatenate([np.array(x["cum"], np.int64) + c for x, c in zip(ranges, base)])
+                kind = np.concatenate([np.array(x["kind"], np.int8) for x in ranges])
+                cuts = [] if total <= limit else cut_span(pos, cum, kind, int(base[-1]), limit - RESERVE if no == 0 else body, body)
+                starts, kinds = [int(pos[i]) for i in cuts], [int(kind[i]) for i in cuts]
+                if no == 0:
+                    starts, kinds = [0, *starts], [5, *kinds]
+                elif total > limit:  # the place where this span takes over
+                    starts, kinds = [int(pos[0]), *starts], [1, *kinds]
+                for c, v in zip(out, (r, no, chars, starts, kinds)):
+                    c.append(v)
+            types = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int8())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["rec", "span", "chars", "starts", "kinds"])
+
+    chosen = spans.select("rec", "span", "chars", "total", "ranges").mapInArrow(choose, f"rec {rec}, span int, chars bigint, starts array<bigint>, kinds array<tinyint>")
+    each = chosen.select("rec", "chars", F.explode(F.arrays_zip(F.col("starts").alias("start"), F.col("kinds").alias("kind"))).alias("p")).select("rec", "chars", "p.start", "p.kind")
+    order = Window.partitionBy("rec").orderBy("start")
+    return each.select("rec", "chars", (F.row_number().over(order) - 1).alias("piece_no"), "start", F.coalesce(F.lead("start").over(order), "chars").alias("until"), "kind")
 
 
 def cut_pieces(df: DataFrame, rec_id: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str = TOKENIZERS, name: str = NAME, chunk: int = RANGE) -> DataFrame:
     """(rec_id, piece_no, part, start_char, end_char, overlap_chars, n_tokens, cut_at, text): every text as ordered pieces of
     at most `limit` tokens, each beginning with the last whole words, at most `overlap` tokens, of the one before.
 
-    A text within the limit is one piece; an empty or NULL text is one empty piece. The texts of all pieces, each without
+    A text within the limit is one piece, whatever its length in characters; an empty or NULL text is one empty piece. The texts of all pieces, each without
     its first overlap_chars characters, joined in order of (piece_no, part) give the text. Part is 0 unless a cut raised a piece's
-    tokens over the limit by more than the reserve; it is then halved. Equal rows of a record give one set of pieces.
+    tokens over the limit by more than the reserve and the overlap; it is then cut again near its middle. Equal rows of a record give one set of pieces.
     """
-    spark = df.sparkSession
     kind = df.schema[rec_id].dataType.simpleString()
-    far = WIDE * limit
     back = 8 * overlap
-    plan = plan_pieces(stage(boundary_table(df, rec_id, text, limit, path, name, chunk), "boundaries"), limit, overlap)
-    jobs = plan.groupBy("rec", (F.col("start") / chunk).cast("int").alias("range_no")).agg(F.sort_array(F.collect_list(F.struct("piece_no", "start", "until", "kind"))).alias("jobs"))
+    table = stage(boundary_table(text_ranges(df, rec_id, text, chunk), limit, path, name, chunk), "boundaries")
+    long = lambda c: F.lit(c).cast("bigint")
+    fits = table.where((F.col("chars") <= chunk) & (F.col("cost") <= limit))
+    whole = fits.select("rec", F.lit(0).alias("piece_no"), F.lit(0).alias("part"), long(0).alias("start_char"), F.col("chars").alias("end_char"), F.lit(0).alias("overlap_chars"), F.col("cost").cast("int").alias("n_tokens"), F.lit(KINDS[5]).alias("cut_at"), F.col("part").alias("text"))
 
-    def ranges(batches):
-        for b in batches:
-            cols: list[list] = [[] for _ in range(4)]
-            for rec, t in zip(b.column(0).to_pylist(), b.column(1)):
-                t = t.as_py() or ""
-                for no, at in enumerate(range(0, max(len(t), 1), chunk)):
-                    low = max(0, at - back)
-                    for c, v in zip(cols, (rec, no, low, t[low : at + chunk + far])):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], ["rec", "range_no", "low", "part_text"])
+    plan = plan_pieces(table, limit, overlap, chunk).withColumn("low", F.greatest(F.col("start") - back, F.lit(0)))
+    touched = F.sequence(F.floor(F.col("low") / chunk).cast("int"), F.floor(F.greatest(F.col("until") - 1, F.col("low")) / chunk).cast("int"))
+    jobs = plan.select("*", F.size(touched).alias("many"), F.explode(touched).alias("range_no"))
+    parts = table.where((F.col("chars") > chunk) | (F.col("cost") > limit)).select("rec", "range_no", "part")
+    here = F.greatest(F.col("low") - F.col("range_no").cast("bigint") * chunk, F.lit(0))
+    there = F.least(F.col("until") - F.col("range_no").cast("bigint") * chunk, F.lit(chunk))
+    slices = jobs.join(parts, ["rec", "range_no"]).withColumn("slice", F.substring("part", (here + 1).cast("int"), (there - here).cast("int"))).drop("part", "chars")
+    one = slices.where("many = 1").select("rec", "piece_no", "start", "low", "kind", F.col("slice").alias("t"))
+    more = slices.where("many > 1").groupBy("rec", "piece_no", "start", "low", "kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("range_no", "slice"))), lambda x: x["slice"]), "").alias("t"))
 
     def emit(batches):
         enc = encoder(path, name)
@@ -176,39 +221,40 @@ def cut_pieces(df: DataFrame, rec_id: str, text: str, limit: int = LIMIT, overla
         lengths = _Lengths(enc)
         for b in batches:
             out: list[list] = [[] for _ in range(9)]
-            for rec, low, t, todo in zip(*(b.column(i).to_pylist() for i in range(4))):
-                for job in todo:
-                    start, until = job["start"] - low, (job["until"] - low if job["until"] is not None else len(t))
-                    lead = 0
-                    if job["piece_no"] and overlap:
-                        from_ = max(0, start - back)
-                        room = overlap
-                        for w in reversed(split_words(t[from_:start])):
-                            room -= lengths[w]
-                            if room < 0:
-                                break
-                            lead += len(w)
-                    spans = [(start, until)]
-                    part = 0
-                    while spans:
-                        a, z = spans.pop(0)
-                        head = lead if part == 0 else 0
+            for rec, no, start, low, how, t in zip(*(b.column(i).to_pylist() for i in range(6))):
+                at = start - low
+                lead = 0
+                if no and overlap:
+                    room = overlap
+                    for w in reversed(split_words(t[:at])):
+                        room -= lengths[w]
+                        if room < 0:
+                            break
+                        lead += len(w)
+                spans, part = [(at, len(t))], 0
+                while spans:
+                    a, z = spans.pop(0)
+                    head = lead if part == 0 else 0
+                    n = count(t[a - head : z])
+                    while n > limit and head:
+                        head = 0 if head < 8 else head // 2
                         n = count(t[a - head : z])
-                        while n > limit and head:
-                            head = 0 if head < 8 else head // 2
-                            n = count(t[a - head : z])
-                        if n > limit and z - a > 1:
-                            mid = (a + z) // 2
-                            spans[:0] = [(a, mid), (mid, z)]
-                            continue
-                        for c, v in zip(out, (rec, job["piece_no"], part, low + a - head, low + z, head, n, KINDS[job["kind"]], t[a - head : z])):
-                            c.append(v)
-                        part += 1
+                    if n > limit and z - a > 1:
+                        mid = _middle(t[a:z]) + a
+                        spans[:0] = [(a, mid), (mid, z)]
+                        continue
+                    for c, v in zip(out, (rec, no, part, low + a - head, low + z, head, n, KINDS[how] if part == 0 else KINDS[1], t[a - head : z])):
+                        c.append(v)
+                    part += 1
             types = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [x.split()[0] for x in fields])
 
     fields = [f"rec {kind}", "piece_no int", "part int", "start_char bigint", "end_char bigint", "overlap_chars int", "n_tokens int", "cut_at string", "text string"]
-    parts = df.select(F.col(rec_id).alias("rec"), F.col(text).alias("t")).mapInArrow(ranges, f"rec {kind}, range_no int, low bigint, part_text string").dropDuplicates(["rec", "range_no"])
-    joined = parts.join(jobs, ["rec", "range_no"]).select("rec", "low", "part_text", "jobs")
-    made = joined.mapInArrow(emit, ", ".join(fields))
-    return made.withColumnRenamed("rec", rec_id)
+    made = one.unionByName(more).mapInArrow(emit, ", ".join(fields))
+    return whole.unionByName(made).withColumnRenamed("rec", rec_id)
+
+
+def _middle(t: str) -> int:
+    """The last line or word end in the first half of a piece, else the half itself."""
+    half = len(t) // 2
+    return max(t.rfind("\n", 0, half), t.rfind(" ", 0, half)) + 1 or half

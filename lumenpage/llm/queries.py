@@ -43,9 +43,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record of 50 words or more with its class of equal texts and its group, by the general setting: five words, 0.8."""
+    """Every record of 50 words or more with its class of equal texts and its group of records alike beyond the problem's threshold."""
     docs = read_table(spark, sf_dir, "fx_document").select("doc_id", "title", "text")
-    return near_copies.similar_groups(docs, "doc_id", "title", "text", least_words=50)
+    return near_copies.similar_groups(docs, "doc_id", "title", "text", **P2)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,14 +68,16 @@ def p5_main(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no) of every occurrence of a line repeated within its host."""
-    docs = read_table(spark, sf_dir, "fx_document").select("doc_id", "text", "url", "published")
-    return site_lines.find_repeated(docs, "doc_id", "text", "url", "published").select(F.col("doc_id").cast("bigint"), F.col("line_no").cast("bigint"))
+    docs = read_table(spark, sf_dir, "fx_document").select("doc_id", "text", "url")
+    return site_lines.find_repeated(docs, "doc_id", "text", "url").select(F.col("doc_id").cast("bigint"), F.col("line_no").cast("bigint"))
 
 
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines repeated within its host."""
-    docs = read_table(spark, sf_dir, "fx_document").select("doc_id", "text", "url", "published")
-    return site_lines.strip_repeated(docs, "doc_id", "text", "url", "published").select("doc_id", "clean_text").dropDuplicates(["doc_id"])
+    """Every document without the lines repeated within its host, in two different documents and on two days at least, so that a republished article keeps
+    its lines."""
+    docs = read_table(spark, sf_dir, "fx_document").select("doc_id", "text", "url", "published", "page_lang")
+    days = site_lines.publication_days(docs, "published", read_table(spark, sf_dir, "locale_zone"), "page_lang", "day")
+    return site_lines.strip_repeated(days, "doc_id", "text", "url", "day", min_clusters=2, min_days=2).select("doc_id", "clean_text").dropDuplicates(["doc_id"])
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +85,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").select(F.col("doc_id").cast("bigint"), "ids")
 
 
+def p7_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of every text of documents, encoded and decoded again."""
+    return tokens.decode_corpus(stage(p7_ids(spark, sf_dir), "ids"), "doc_id", "ids")
+
+
 def p8_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents, or part of one over the capacity, with its container."""
     sizes = packing.item_sizes(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
@@ -94,7 +101,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.cut_pieces(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p5_main": p5_main, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p8_bins": p8_bins, "p9_pieces": p9_pieces}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p5_main": p5_main, "p6_found": p6_found, "p6_clean": p6_clean, "p7_ids": p7_ids, "p7_decode": p7_decode, "p8_bins": p8_bins, "p9_pieces": p9_pieces}
 
 HOST_SQL = r"nullif(regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:\s]*)', 1), '\.$', ''), '^www\.', ''), '')"
 LINE_SQL = r"regexp_replace(trim(regexp_replace(lower(line), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')), '[0-9]+', '0', 'g')"
@@ -114,7 +121,5 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL)
 SELECT a AS doc_id_a, b AS doc_id_b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE k >= 0.5 * (p.n + q.n - k)""",
     "p6_found": f"WITH {LINES_SQL} SELECT DISTINCT doc_id, CAST(line_no AS BIGINT) AS line_no FROM folded f JOIN often o ON f.host = o.host AND f.k = o.k",
-    "p6_clean": f"""WITH {LINES_SQL},
-kept AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_no) AS t FROM folded f WHERE NOT EXISTS (SELECT 1 FROM often o WHERE o.host = f.host AND o.k = f.k) GROUP BY doc_id)
-SELECT DISTINCT d.doc_id, CASE WHEN d.text IS NULL OR d.text = '' OR d.url IS NULL OR {HOST_SQL} IS NULL THEN d.text ELSE coalesce(k.t, '') END AS clean_text FROM fx_document d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
+    "p7_decode": "SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -19,7 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenpage.sources import ship_package, stage
@@ -186,21 +186,21 @@ def encode_corpus(df: DataFrame, rec_id: str, text: str, path: str = TOKENIZERS,
     return whole.mapInArrow(finish, schema).withColumnRenamed("rec", rec_id)
 
 
-def decode_corpus(df: DataFrame, rec_id: str, ids: str, path: str = TOKENIZERS, name: str = NAME) -> DataFrame:
-    """(rec_id, text): the text of every list of ids, by a join of ids with the tokenizer's pieces. The piece
-    table has one entry an id and is bounded by the vocabulary. An empty list gives the empty text, NULL gives NULL;
-    ids outside the vocabulary fail; bytes that are no UTF-8 become U+FFFD."""
-    ship_package(df.sparkSession)
+def piece_table(spark: SparkSession, path: str = TOKENIZERS, name: str = NAME) -> DataFrame:
+    """(id, piece): the bytes of every id in hexadecimal; one row an id, so bounded by the vocabulary."""
+    enc = encoder(path, name)
+    return spark.createDataFrame([(i, enc.decode_single_token_bytes(i).hex()) for i in range(enc.n_vocab)], "id int, piece string")
 
-    def decode(batches):
-        enc = encoder(path, name)
-        pieces = pa.array([enc.decode_single_token_bytes(i) if i < enc.n_vocab else b"" for i in range(enc.n_vocab)], pa.large_binary())
-        for b in batches:
-            lists = b.column(1)
-            out = []
-            for x in lists:
-                out.append(None if not x.is_valid else b"".join(pieces.take(x.values).to_pylist()).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["rec", "text"])
 
-    kind = df.schema[rec_id].dataType.simpleString()
-    return df.select(F.col(rec_id).alias("rec"), F.col(ids).alias("ids")).mapInArrow(decode, f"rec {kind}, text string").withColumnRenamed("rec", rec_id)
+def decode_corpus(df: DataFrame, rec_id: str, ids: str, path: str = TOKENIZERS, name: str = NAME) -> DataFrame:
+    """(rec_id, text): the text of every list of ids, by a join of ids with the tokenizer's pieces, which are broadcast. Lists are partitioned by record before
+    they are exploded, so that pieces come together without another shuffle. An empty list gives the empty text, NULL gives NULL; equal rows
+    of a record give one row; ids outside the vocabulary fail; bytes that are no UTF-8 become U+FFFD."""
+    lists = df.select(F.col(rec_id).alias("rec"), F.col(ids).alias("ids")).repartition("rec").dropDuplicates(["rec"])
+    each = lists.select("rec", F.size("ids").alias("n"), F.posexplode_outer("ids").alias("pos", "id"))
+    named = each.join(F.broadcast(piece_table(df.sparkSession, path, name)), "id", "left")
+    unknown = F.raise_error(F.concat(F.lit("no such token: "), F.col("id").cast("string")))
+    piece = F.when(F.col("id").isNotNull(), F.coalesce("piece", unknown))
+    whole = named.groupBy("rec").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("found"))
+    joined = F.array_join(F.transform("found", lambda x: x["piece"]), "")
+    return whole.select(F.col("rec").alias(rec_id), F.when(F.col("n") >= 0, F.make_valid_utf8(F.unhex(joined).cast("string"))).alias("text"))

@@ -66,6 +66,15 @@ def test_groups(spark, df):
     assert {r.class_id for r in rows if 1000 <= r.doc_id < 1012} == {1000}
 
 
+def test_groups_hold_all_pairs(spark, sf_dir):
+    """No pair that p2_found lists is parted by p2_groups."""
+    from lumenpage.llm import queries as Q
+
+    group = {r.doc_id: r.group_id for r in Q.p2_groups(spark, sf_dir).collect()}
+    pairs = Q.p2_found(spark, "/root/testdata/sf0.001").collect()
+    assert pairs and all(group[r.doc_id_a] == group[r.doc_id_b] for r in pairs)
+
+
 def test_long_chain(spark):
     """300 revisions, each alike only to the next, under shuffled ids: one group."""
     words, ids = [f"c{i}" for i in range(3100)], random.Random(5).sample(range(10_000), 300)

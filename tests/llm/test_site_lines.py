@@ -30,29 +30,41 @@ def brute(least=5, share=0.15):
 
 
 def test_found(spark):
-    got = [(r.doc_id, r.line_no) for r in L.find_repeated(frame(spark), "doc_id", "text", "url", "published").collect()]
+    got = [(r.doc_id, r.line_no) for r in L.find_repeated(frame(spark), "doc_id", "text", "url").collect()]
     assert set(got) == brute() and len(got) == len(set(got))
 
 
 def test_clusters_tell_copies_apart(spark):
-    s = L.find_repeated(frame(spark), "doc_id", "text", "url", "published", min_clusters=2).collect()
+    s = L.find_repeated(frame(spark), "doc_id", "text", "url", min_clusters=2).collect()
     assert {r.doc_id for r in s if r.doc_id >= 100 and r.line_no == 1} == set()
-    stats = L.line_statistics(frame(spark), "doc_id", "text", "url", "published").where("n_records = 6 and n_clusters = 1").count()
+    stats = L.line_statistics(L.keyed_lines(frame(spark), "doc_id", "text", "url")).where("n_records = 6 and n_clusters = 1").count()
     assert stats == 1
 
 
 def test_strip(spark):
-    rows = L.strip_repeated(frame(spark), "doc_id", "text", "url", "published").collect()
+    rows = L.strip_repeated(frame(spark), "doc_id", "text", "url").collect()
     assert len(rows) == len(ROWS) + 5
     by = {r.doc_id: r.clean_text for r in rows}
     assert by[5] == "Article f" and by[203] is None and by[202] == "" and by[200] == "Menu" and by[204] == "Menu"
     assert L.find_repeated(frame(spark).limit(0), "doc_id", "text", "url").count() == 0
 
 
+def test_days(spark):
+    """One day in several spellings is one day; a document without a date has a day of its own."""
+    when = ["2024-03-05", "5 March 2024", "2024-03-05T10:00:00Z", None, "2024-03-06", "soon"]
+    rows = [(i, "https://a.example/x", f"Standing line\nText {'abcdef'[i]}", w, "en-GB") for i, w in enumerate(when)]
+    df = spark.createDataFrame(rows, "doc_id long, url string, text string, published string, page_lang string")
+    zones = spark.createDataFrame([("en-GB", "Europe/London", "dmy")], "page_lang string, zone_name string, date_order string")
+    keyed = L.keyed_lines(L.publication_days(df, "published", zones, "page_lang", "day"), "doc_id", "text", "url", "day")
+    assert L.line_statistics(keyed).where("n_records = 6").first().n_days == 4
+    same = L.publication_days(df.where("doc_id < 3"), "published", zones, "page_lang", "day")
+    assert L.repeated_lines(L.keyed_lines(same, "doc_id", "text", "url", "day"), min_records=3, min_days=2).count() == 0
+
+
 def test_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW fx_document AS SELECT * FROM '{sf_dir}/fx_document.parquet'")
-    for name in ("p6_found", "p6_clean", "p2_found"):
+    for name in ("p6_found", "p2_found"):
         df = Q.QUERIES[name](spark, sf_dir)
         cols = sorted(df.columns)
         assert sorted(map(str, df.select(*cols).collect())) == sorted(map(str, [_row(df, cols, r) for r in con.execute(f"SELECT {', '.join(cols)} FROM ({Q.SQL[name]})").fetchall()]))

@@ -85,3 +85,40 @@ def test_pieces(spark, docs, limit, overlap, chunk):
             if a is not None:
                 assert a.text.endswith(p.text[: p.overlap_chars]) or p.overlap_chars > len(a.text)
     assert pieces.cut_pieces(docs.limit(0), "doc_id", "text").count() == 0
+
+
+def test_pieces_about_the_limit(spark):
+    """A text of 1,024 tokens or fewer stays whole, also if its tokens are long; a longer one gives about as few pieces as can be."""
+    enc = tokens.encoder()
+    rows = [(n, " a" * n) for n in range(1012, 1030)] + [(1, " " * 70_000 + "x"), (2, ("-" * 64 + "\n") * 300)] + [(9000 + n, "Some words. And more of them here.\n" * n) for n in (200, 1000, 5000)]
+    by = defaultdict(list)
+    for r in pieces.cut_pieces(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect():
+        by[r.doc_id].append(r)
+    for i, t in rows:
+        n = len(enc.encode_ordinary(t))
+        assert max(r.n_tokens for r in by[i]) <= 1024 and (len(by[i]) == 1) == (n <= 1024)
+        assert len(by[i]) <= max(1, 1.05 * -(-(n - 64) // 960) + 1)
+    assert {r.cut_at for r in by[14000]} <= {"section", "line", "blank line"}
+
+
+def test_pieces_of_spans(spark, monkeypatch):
+    """A text of many spans, each cut by itself, still joins up."""
+    monkeypatch.setattr(pieces, "SPAN", 2)
+    text = "".join(f"Line {i} of a long file, with some words; 日本語 {i}.\n" for i in range(3000))
+    rows = sorted(pieces.cut_pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text", chunk=2000).collect(), key=lambda r: (r.piece_no, r.part))
+    assert "".join(r.text[r.overlap_chars :] for r in rows) == text and max(r.n_tokens for r in rows) <= 1024
+
+
+def test_limits_bind(spark):
+    """On the driver's texts each limit decides: packed without it, some container would break it."""
+    sizes = packing.item_sizes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), "doc_id", "text")
+    rows = packing.as_items(sizes, "doc_id", packing.CAPACITY, packing.LOSS).collect()
+    x = np.array([(r.n_tokens, 1, r.loss_tokens) for r in rows], dtype=float)
+    limits = np.array([packing.CAPACITY, packing.SEGMENTS, packing.LOSS], dtype=float)
+    used = lambda bins: np.stack([np.bincount(bins, x[:, k]) for k in range(3)], axis=1)
+    packed = used(packing.dot_product_pack(x, limits))
+    assert (packed <= limits).all() and len(packed) <= 1.01 * max(np.ceil(x.sum(axis=0) / limits)) + 1
+    for k in range(3):
+        free = limits.copy()
+        free[k] = 1e9
+        assert (used(packing.dot_product_pack(x, free))[:, k] > limits[k]).any()
