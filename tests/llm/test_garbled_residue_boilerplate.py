@@ -69,15 +69,17 @@ DOC = "doc_id long, title string, text string, error string, ok boolean, url str
 def test_residue_on_unseen_hosts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/fx_document.parquet").select("doc_id", "title", "text", "error", "ok", "url")
     q = R.held_out_quality(docs)
-    assert q["marked"] > 5 and q["precision"] > 0.9 and q["recall"] > 0.6
+    assert q["marked"] > 100 and q["precision"] > 0.97 and q["recall"] > 0.9
+    q = R.held_out_quality(docs, ("missing", "refused", "scripts"))  # phrases that marked nothing in fitting are found by the company they keep
+    assert q["marked"] > 10 and q["recall"] > 0.8
     model = R.fit_model(docs)
     cases = [
         (1, "Hello {{first_name}}", "Real text about bread.", None, True, None), (2, "T", "Bread.\nPlease enable JavaScript to view this page.\nMore.", "", True, None), (3, "T", "Lorem ipsum dolor sit amet consectetur tempor.", None, True, None),
         (4, "Lorem ipsum and other dummy text for bakers", "Designers drop lorem ipsum into a draft so that bakers judge the oven and not the words.", None, True, None), (5, "Bread", "In a mail merge, write {{first_name}} where the name should appear.", "HTTP 404", False, None),
-        (6, None, None, None, None, None), (7, "", "", "timed out after 15 s", False, ""), (8, "T", "404 - Page not found. The address you typed leads nowhere.", None, False, None), (9, "T", "word " * 20000, None, True, None),
+        (6, None, None, None, None, None), (7, "", "", "timed out after 15 s", False, ""), (8, "T", "404 - Page not found. The address you typed leads nowhere.", None, False, None), (9, "T", "word " * 20000, None, True, None), (10, "T", "Bread.\nAn oven\n" + "The baker weighs flour and salt for the loaf, then waits an hour. " * 20 + "Hello {{first_name}}, the rye is ready.", None, True, None),
     ]
     df = spark.createDataFrame(cases + cases[:3], DOC)
-    assert sorted(r.doc_id for r in R.find_residue(df, "doc_id", model).collect()) == [1, 2, 3, 8]
+    assert sorted(r.doc_id for r in R.find_residue(df, "doc_id", model).collect()) == [1, 2, 3, 8, 10]
     empty = df.limit(0)
     assert R.find_residue(empty, "doc_id", R.fit_model(empty)).count() == 0
 
@@ -108,6 +110,13 @@ def test_furniture(spark):
     assert B.find_furniture(b.limit(0), d.limit(0)).count() == 0
 
 
+def test_trees(spark, sf_dir):
+    """Most of what is cut on the driver's pages is owed to the hosts' own trees."""
+    read = lambda n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
+    cut = {k: {tuple(r) for r in B.find_furniture(read("fx_block"), read("fx_document").select("doc_id", "url"), corpus_tree=k == "both").collect()} for k in ("both", "host")}
+    assert cut["host"] <= cut["both"] and len(cut["host"]) > 0.8 * len(cut["both"])
+
+
 def test_texts_of_both_tables(spark, sf_dir):
     assert {r.tbl for r in _texts(spark, sf_dir).select("tbl").distinct().collect()} == {"fx_document", "fx_answer"}
 
