@@ -18,3 +18,9 @@ THRESHOLD = 75.0
 SIM_RANGE = (0.02, 0.35)
 RELEVANT, COVER_HIGH, COVER_LOW = 0.12, 0.28, 0.10
 FACT_TARGET = 3.0
+# What each metric has to have.
+NEEDS = {
+    1: "text of the page, and a query", 2: "text of the page", 3: "text of the page", 4: "HTML of the page", 5: "text of the page, and a query", 6: "text of the page", 7: "text of the page", 8: "text of the page, and a query",
+    9: "text of the page, and an entity", 10: "text of the page, and an entity", 11: "text of the page, and an entity", 12: "text of the page, an entity, and a query", 13: "external pages, linked or pasted", 14: "external pages, linked or pasted",
+    15: "answers with their citations", 16: "a query and an entity; answers and external pages help",
+}

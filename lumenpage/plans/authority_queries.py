@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from lumenpage.functions import queries as qf
 from lumenpage.functions import tags, text, urls
 from lumenpage.operators import blocks as B
 from lumenpage.operators.entities import name_pattern
+from lumenpage.operators.similarity import sim_to_score
 from lumenpage.plans import entity_queries as E
 from lumenpage.plans import page_queries as P
 from lumenpage.plans import sql as S
@@ -123,8 +126,7 @@ s AS (SELECT *, CASE WHEN c > 0 THEN least(100.0, t / c / 0.4 * 100) END AS cs,
 SELECT project_id, answers, round((coalesce(cs, 0) * 0.6 + coalesce(ms, 0) * 0.4) / nullif(CASE WHEN cs IS NULL THEN 0.0 ELSE 0.6 END + CASE WHEN ms IS NULL THEN 0.0 ELSE 0.4 END, 0.0), 4) AS score FROM s"""
 
 
-@query
-def x_external_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def external_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every readable external page: mentions of the entity, a link to its site in the text, and whether a mention stands in title, heading or first 100 words."""
     e = E.entities(spark, sf_dir).select("project_id", "pattern", F.coalesce("website", F.lit("")).alias("website"))
     d = read_table(spark, sf_dir, "fx_document").where("kind = 'external' and ok").join(e, "project_id")
@@ -140,50 +142,86 @@ def x_external_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _site = S.domain("coalesce(website, '')")
-SQL["x_external_summary"] = rf"""WITH {BLOCKS}, {ENT}, d AS (SELECT DISTINCT doc_id, project_id, url, title, text, source_type FROM fx_document WHERE kind = 'external' AND ok),
+_MENTIONS = rf"""WITH {BLOCKS}, {ENT}, d AS (SELECT DISTINCT doc_id, project_id, url, title, text, source_type FROM fx_document WHERE kind = 'external' AND ok),
 x AS (SELECT doc_id, project_id, pat, len({sql_hit("coalesce(text, '')", 'regexp_extract_all')}) AS mentions, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:https?)://[^\s<>")\]]+'), lambda u: {_site} <> '' AND {S.domain('u')} = {_site})) > 0 AS links,
 {sql_hit("coalesce(title, '')")} OR {sql_hit("array_to_string(string_split(" + S.ws('text') + ", ' ')[1:100], ' ')")} AS p, coalesce(nullif(source_type, ''), 'other_web') AS source_type, {S.domain('url')} AS domain FROM d JOIN e USING (project_id)),
 h AS (SELECT b.doc_id, bool_or({sql_hit('text')}) AS h FROM b JOIN x ON b.doc_id = x.doc_id WHERE type = 'heading' GROUP BY b.doc_id)
 SELECT x.doc_id, project_id, mentions, links, mentions > 0 AND (p OR coalesce(h, FALSE)) AS prominent, source_type, domain FROM x LEFT JOIN h ON x.doc_id = h.doc_id"""
 
 
+def external_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, relevance): the mean of the three passages closest to the project's query, of every readable external page with passages."""
+    x, _ = E.passage_sims(spark, sf_dir, "kind = 'external' and ok")
+    return x.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list("sim"), asc=False), 1, 3).alias("top")).select("doc_id", F.round(F.aggregate("top", F.lit(0.0), lambda s, v: s + v) / F.size("top"), 3).alias("relevance"))
+
+
+@query
+def x_external_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions, links and prominence of the entity in every readable external page, the page's relevance to the query, NULL without passages or query, and its date."""
+    dates = P.documents(spark, sf_dir, "published", "modified").select("doc_id", F.coalesce(F.nullif("published", F.lit("")), "modified", F.lit("")).alias("date"))
+    return external_mentions(spark, sf_dir).join(external_relevance(spark, sf_dir), "doc_id", "left").join(dates, "doc_id")
+
+
+_RELEVANCE = f"""rq AS (SELECT DISTINCT f.doc_id, p.query FROM fx_document f JOIN fx_project p USING (project_id) WHERE f.kind = 'external' AND f.ok AND trim(coalesce(p.query, '')) <> ''), {E._PASS},
+tx AS (SELECT ps.doc_id, 'p' || pos AS tid, text FROM ps JOIN rq ON ps.doc_id = rq.doc_id UNION ALL SELECT doc_id, 'q0', query FROM rq WHERE doc_id IN (SELECT doc_id FROM ps)), {P.sql_tfidf('tx', 'doc_id')},
+rk AS (SELECT ps.doc_id, round(coalesce(sim, 0.0), 6) AS sim, row_number() OVER (PARTITION BY ps.doc_id ORDER BY sim DESC NULLS LAST) AS k FROM ps JOIN rq ON ps.doc_id = rq.doc_id LEFT JOIN sims ON sims.doc_id = ps.doc_id AND sims.p = CAST(ps.pos AS VARCHAR)),
+er AS (SELECT doc_id, round(avg(sim), 3) AS relevance FROM rk WHERE k <= 3 GROUP BY doc_id)"""
+SQL["x_external_summary"] = f"""WITH {BLOCKS}, {_RELEVANCE}, m AS ({_MENTIONS}), dt AS (SELECT DISTINCT doc_id, coalesce(nullif(published, ''), modified, '') AS date FROM fx_document)
+SELECT m.*, relevance, date FROM m LEFT JOIN er ON er.doc_id = m.doc_id JOIN dt ON dt.doc_id = m.doc_id"""
+
+
 @query
 def m13_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readable external pages that mention the entity, of every project that has any."""
     hit = F.col("mentions") > 0
-    g = x_external_summary(spark, sf_dir).groupBy("project_id").agg(F.count(F.lit(1)).alias("pages"), F.sum(hit.cast("int")).alias("n"), F.avg(F.when(hit, _f(F.col("links")))).alias("l"), F.avg(F.when(hit, _f(F.col("prominent")))).alias("p"))
+    g = external_mentions(spark, sf_dir).groupBy("project_id").agg(F.count(F.lit(1)).alias("pages"), F.sum(hit.cast("int")).alias("n"), F.avg(F.when(hit, _f(F.col("links")))).alias("l"), F.avg(F.when(hit, _f(F.col("prominent")))).alias("p"))
     return g.select("project_id", "pages", F.col("n").alias("mentioning"), rounded(60 * F.least(F.lit(1.0), F.col("n") / 5) + 20 * F.coalesce("l", F.lit(0.0)) + 20 * F.coalesce("p", F.lit(0.0))).alias("score"))
 
 
-SQL["m13_mentions"] = f"""WITH x AS ({SQL['x_external_summary']}), g AS (SELECT project_id, count(*) AS pages, count(*) FILTER (WHERE mentions > 0) AS n, avg(CASE WHEN links THEN 1.0 ELSE 0.0 END) FILTER (WHERE mentions > 0) AS l, avg(CASE WHEN prominent THEN 1.0 ELSE 0.0 END) FILTER (WHERE mentions > 0) AS p FROM x GROUP BY project_id)
+SQL["m13_mentions"] = f"""WITH x AS ({_MENTIONS}), g AS (SELECT project_id, count(*) AS pages, count(*) FILTER (WHERE mentions > 0) AS n, avg(CASE WHEN links THEN 1.0 ELSE 0.0 END) FILTER (WHERE mentions > 0) AS l, avg(CASE WHEN prominent THEN 1.0 ELSE 0.0 END) FILTER (WHERE mentions > 0) AS p FROM x GROUP BY project_id)
 SELECT project_id, pages, n AS mentioning, round(60 * least(1.0, n / 5) + 20 * coalesce(l, 0) + 20 * coalesce(p, 0), 4) AS score FROM g"""
 
 
 @query
 def m14_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds and domains of independent external pages that mention the entity."""
-    x = x_external_summary(spark, sf_dir)
+    x = external_mentions(spark, sf_dir)
     free = (F.col("mentions") > 0) & ~F.col("source_type").isin("own_site", "competitor_site")
     g = x.groupBy("project_id").agg(F.count_distinct(F.when(free, F.col("source_type"))).alias("kinds"), F.count_distinct(F.when(free & (F.col("domain") != ""), F.col("domain"))).alias("domains"))
     return g.select("project_id", "kinds", "domains", rounded(50 * F.least(F.lit(1.0), F.col("kinds") / 4) + 50 * F.least(F.lit(1.0), F.col("domains") / 5)).alias("score"))
 
 
-SQL["m14_diversity"] = f"""WITH x AS ({SQL['x_external_summary']}), g AS (SELECT project_id, count(DISTINCT source_type) FILTER (WHERE f) AS kinds, count(DISTINCT domain) FILTER (WHERE f AND domain <> '') AS domains
+SQL["m14_diversity"] = f"""WITH x AS ({_MENTIONS}), g AS (SELECT project_id, count(DISTINCT source_type) FILTER (WHERE f) AS kinds, count(DISTINCT domain) FILTER (WHERE f AND domain <> '') AS domains
 FROM (SELECT *, mentions > 0 AND source_type NOT IN ('own_site', 'competitor_site') AS f FROM x) GROUP BY project_id) SELECT project_id, kinds, domains, round(50 * least(1.0, kinds / 4) + 50 * least(1.0, domains / 5), 4) AS score FROM g"""
 
 
-@query
-def m16_citation_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Value of a project's query: its intent, the mean presence of the entity on its own pages, and the best prominence in answers, over the parts there are."""
+def project_worth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_id, intent, worth, sources, prom) of every project with a query: the query's intent and its value, the mean relevance of the external pages
+    as a score, and the best prominence in answers; NULL where there are none."""
     q = P.primary_queries(spark, sf_dir).withColumn("intent", qf.detect_intent(F.col("query"), F.col("entity")))
     value = F.create_map(*[F.lit(x) for kv in W.INTENT_VALUE.items() for x in kv])
-    docs = P.documents(spark, sf_dir, "project_id", "kind").where("kind = 'target'").select("doc_id", "project_id")
-    own = E.m9_presence(spark, sf_dir).join(docs, "doc_id").groupBy("project_id").agg(F.avg(F.round("score", 1)).alias("own"))
+    externals = P.documents(spark, sf_dir, "project_id").join(external_relevance(spark, sf_dir), "doc_id").groupBy("project_id").agg(F.avg(sim_to_score(F.col("relevance"), *W.SIM_RANGE)).alias("sources"))
     prom = a2_answers(spark, sf_dir).join(read_table(spark, sf_dir, "fx_answer").select("answer_id", "project_id").distinct(), "answer_id").groupBy("project_id").agg(F.max("prominence").alias("prom"))
-    x = q.join(own, "project_id", "left").join(prom, "project_id", "left")
-    total = 40 * F.element_at(value, F.col("intent")) + 0.3 * F.coalesce("own", F.lit(0.0)) + 15 * F.coalesce("prom", F.lit(0.0))
-    weight = 0.4 + F.when(F.col("own").isNotNull(), 0.3).otherwise(0.0) + F.when(F.col("prom").isNotNull(), 0.15).otherwise(0.0)
-    return x.select("project_id", "intent", F.round(total / weight, 3).alias("score"))
+    return q.select("project_id", "intent", F.element_at(value, F.col("intent")).alias("worth")).join(externals, "project_id", "left").join(prom, "project_id", "left")
+
+
+def citation_value(near: Column) -> Column:
+    """Weighted mean of what there is of intent, nearness to the entity, relevance of sources and prominence in answers."""
+    some = lambda c, w: F.when(c.isNotNull(), w).otherwise(0.0)
+    total = 40 * F.coalesce("worth", F.lit(0.6)) + 0.3 * F.coalesce(near, F.lit(0.0)) + 0.15 * F.coalesce("sources", F.lit(0.0)) + 15 * F.coalesce("prom", F.lit(0.0))
+    return total / (0.4 + some(near, 0.3) + some(F.col("sources"), 0.15) + some(F.col("prom"), 0.15))
+
+
+@query
+def m16_citation_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Value of a project's query: its intent, the mean of metrics 9 and 12 over its own pages, the relevance of its external pages, and the best prominence in
+    answers, over the parts there are."""
+    docs = P.documents(spark, sf_dir, "project_id", "kind").where("kind = 'target'").select("doc_id", "project_id")
+    a, z = (f(spark, sf_dir).select("doc_id", F.round("score", 1).alias(n)) for f, n in ((E.m9_presence, "m9"), (E.m12_relevance, "m12")))
+    near = F.coalesce((F.col("m9") + F.col("m12")) / 2, "m9", "m12")
+    own = docs.join(a, "doc_id", "left").join(z, "doc_id", "left").groupBy("project_id").agg(F.avg(near).alias("own"))
+    x = project_worth(spark, sf_dir).join(own, "project_id", "left")
+    return x.select("project_id", "intent", F.round(citation_value(F.col("own")), 3).alias("score"))
 
 
 def _intent_sql() -> str:
@@ -193,62 +231,75 @@ def _intent_sql() -> str:
 
 
 _val = "CASE intent " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in W.INTENT_VALUE.items()) + " END"
-SQL["m16_citation_value"] = f"""WITH q AS (SELECT DISTINCT project_id, {_intent_sql()} AS intent FROM fx_project WHERE trim(coalesce(query, '')) <> ''), d AS (SELECT DISTINCT doc_id, project_id FROM fx_document WHERE kind = 'target'),
-m AS ({E.SQL['m9_presence']}), o AS (SELECT project_id, avg(round(score, 1)) AS own FROM m JOIN d USING (doc_id) GROUP BY project_id), a AS ({SQL['a2_answers']}), k AS (SELECT DISTINCT answer_id, project_id FROM fx_answer),
-p AS (SELECT project_id, max(prominence) AS prom FROM a JOIN k USING (answer_id) GROUP BY project_id)
-SELECT q.project_id, intent, round((40 * {_val} + 0.3 * coalesce(own, 0) + 15 * coalesce(prom, 0)) / (0.4 + CASE WHEN own IS NULL THEN 0.0 ELSE 0.3 END + CASE WHEN prom IS NULL THEN 0.0 ELSE 0.15 END), 3) AS score FROM q LEFT JOIN o USING (project_id) LEFT JOIN p USING (project_id)"""
+_WORTH = f"""iq AS (SELECT DISTINCT project_id, {_intent_sql()} AS intent FROM fx_project WHERE trim(coalesce(query, '')) <> ''), {_RELEVANCE},
+so AS (SELECT project_id, avg({P.sscale('relevance', *W.SIM_RANGE)}) AS sources FROM er JOIN (SELECT DISTINCT doc_id, project_id FROM fx_document) USING (doc_id) GROUP BY project_id),
+an AS ({SQL['a2_answers']}), ak AS (SELECT DISTINCT answer_id, project_id FROM fx_answer), pm AS (SELECT project_id, max(prominence) AS prom FROM an JOIN ak USING (answer_id) GROUP BY project_id),
+wo AS (SELECT iq.project_id, intent, {_val} AS worth, sources, prom FROM iq LEFT JOIN so USING (project_id) LEFT JOIN pm USING (project_id))"""
 
-PAGE_METRICS = {2: P.m2_headings, 3: P.m3_chunkability, 6: P.m6_fact_density, 7: P.m7_attribution, 9: E.m9_presence, 10: E.m10_clarity}
-PAGE_SQL = {2: P.SQL["m2_headings"], 3: P.SQL["m3_chunkability"], 6: P.SQL["m6_fact_density"], 7: P.SQL["m7_attribution"], 9: E.SQL["m9_presence"], 10: E.SQL["m10_clarity"]}
 
+def _value_sql(near: str) -> str:
+    some = lambda c, w: f"CASE WHEN {c} IS NULL THEN 0.0 ELSE {w} END"
+    return f"(40 * coalesce(worth, 0.6) + 0.3 * coalesce({near}, 0) + 0.15 * coalesce(sources, 0) + 15 * coalesce(prom, 0)) / (0.4 + {some(near, 0.3)} + {some('sources', 0.15)} + {some('prom', 0.15)})"
 
-def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, metric_id, score) of the metrics each page has by itself."""
-    out = None
-    for i, f in PAGE_METRICS.items():
-        rows = f(spark, sf_dir).select("doc_id", F.lit(i).alias("metric_id"), F.round("score", 1).alias("score"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
 
+_near = "coalesce((m9 + m12) / 2, m9, m12)"
+SQL["m16_citation_value"] = f"""WITH {BLOCKS}, {_WORTH}, m9 AS ({E.SQL['m9_presence']}), m12 AS ({E.SQL['m12_relevance']}), d AS (SELECT DISTINCT doc_id, project_id FROM fx_document WHERE kind = 'target'),
+o AS (SELECT project_id, avg({_near}) AS own FROM (SELECT d.project_id, round(m9.score, 1) AS m9, round(m12.score, 1) AS m12 FROM d LEFT JOIN m9 ON m9.doc_id = d.doc_id LEFT JOIN m12 ON m12.doc_id = d.doc_id) GROUP BY project_id)
+SELECT project_id, intent, round(CAST({_value_sql('own')} AS DOUBLE), 3) AS score FROM wo LEFT JOIN o USING (project_id)"""
 
-ALL_PAGE_METRICS = {**PAGE_METRICS, 1: P.m1_direct_answer, 5: P.m5_information_density, 8: E.m8_coverage, 11: E.m11_relationships, 12: E.m12_relevance}
+PAGE_METRICS = {
+    1: P.m1_direct_answer, 2: P.m2_headings, 3: P.m3_chunkability, 5: P.m5_information_density, 6: P.m6_fact_density, 7: P.m7_attribution, 8: E.m8_coverage, 9: E.m9_presence, 10: E.m10_clarity,
+    11: E.m11_relationships, 12: E.m12_relevance,
+}
+AT_ONCE = 8  # metrics staged at a time
+PROJECT_METRICS = {13: m13_mentions, 14: m14_diversity, 15: m15_citation_share}
 
 
-def all_metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, metric_id, score) of all 16 metrics of every page: 13 to 15 are its project's, and 16 takes the page's own 9 and 12. The score is NULL
-    where a metric has none; 4 never has one, since the tables hold no markup. Each metric is staged by itself: one plan of them all would
-    outgrow the driver."""
+    where a metric has none; 4 never has one, since the tables hold no markup. Each metric is staged by itself, since one plan of them all would
+    outgrow the driver; several at a time, since each by itself leaves cores idle."""
+    jobs = {i: lambda i=i, f=f: f(spark, sf_dir).select("doc_id", F.lit(i).alias("i"), F.round("score", 1).alias("score")) for i, f in PAGE_METRICS.items()}
+    jobs |= {i: lambda i=i, f=f: f(spark, sf_dir).select("project_id", F.round("score", 1).alias(f"m{i}")) for i, f in PROJECT_METRICS.items()}
+    jobs[16] = lambda: project_worth(spark, sf_dir).drop("intent")
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        done = dict(zip(jobs, pool.map(lambda job: stage(job(), "metric"), jobs.values())))
     rows = None
-    for i, f in ALL_PAGE_METRICS.items():
-        r = stage(f(spark, sf_dir).select("doc_id", F.lit(i).alias("i"), F.round("score", 1).alias("score")), "metric")
-        rows = r if rows is None else rows.unionByName(r)
-    wide = P.documents(spark, sf_dir, "project_id").join(rows.groupBy("doc_id").agg(*[F.max(F.when(F.col("i") == i, F.col("score"))).alias(f"m{i}") for i in ALL_PAGE_METRICS]), "doc_id", "left")
-    for i, f in {13: m13_mentions, 14: m14_diversity, 15: m15_citation_share}.items():
-        wide = wide.join(stage(f(spark, sf_dir).select("project_id", F.round("score", 1).alias(f"m{i}")), "metric"), "project_id", "left")
-    value = F.create_map(*[F.lit(x) for kv in W.INTENT_VALUE.items() for x in kv])
-    worth = P.primary_queries(spark, sf_dir).select("project_id", F.element_at(value, qf.detect_intent(F.col("query"), F.col("entity"))).alias("worth"))
-    prom = a2_answers(spark, sf_dir).join(read_table(spark, sf_dir, "fx_answer").select("answer_id", "project_id").distinct(), "answer_id").groupBy("project_id").agg(F.max("prominence").alias("prom"))
-    wide = wide.join(worth, "project_id", "left").join(stage(prom, "prominence"), "project_id", "left")
+    for i in PAGE_METRICS:
+        rows = done[i] if rows is None else rows.unionByName(done[i])
+    wide = P.documents(spark, sf_dir, "project_id").join(rows.groupBy("doc_id").agg(*[F.max(F.when(F.col("i") == i, F.col("score"))).alias(f"m{i}") for i in PAGE_METRICS]), "doc_id", "left")
+    for i in [*PROJECT_METRICS, 16]:
+        wide = wide.join(done[i], "project_id", "left")
     near = F.coalesce((F.col("m9") + F.col("m12")) / 2, "m9", "m12")
-    total = 40 * F.coalesce("worth", F.lit(0.6)) + 0.3 * F.coalesce(near, F.lit(0.0)) + 15 * F.coalesce("prom", F.lit(0.0))
-    weight = 0.4 + F.when(near.isNotNull(), 0.3).otherwise(0.0) + F.when(F.col("prom").isNotNull(), 0.15).otherwise(0.0)
-    wide = wide.withColumns({"m16": F.round(total / weight, 1), "m4": F.lit(None).cast("double")})
+    wide = wide.withColumns({"m16": F.round(citation_value(near), 1), "m4": F.lit(None).cast("double")})
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("metric_id"), F.col(f"m{i}").alias("score")) for i in W.METRICS]))
     return stage(wide.select("doc_id", each.alias("m")).select("doc_id", "m.metric_id", "m.score"), "metrics")
 
 
+_pages = " UNION ALL ".join(f"SELECT doc_id, {i} AS i, round(score, 1) AS score FROM ({(E.SQL | P.SQL)[f.__name__]})" for i, f in PAGE_METRICS.items())
+_wide = ", ".join(f"max(score) FILTER (WHERE i = {i}) AS m{i}" for i in PAGE_METRICS)
+_own = " ".join(f"LEFT JOIN (SELECT project_id, round(score, 1) AS m{i} FROM ({SQL[f.__name__]})) x{i} ON x{i}.project_id = f.project_id" for i, f in PROJECT_METRICS.items())
+_case = " ".join(f"WHEN {i} THEN {'round(CAST(' + _value_sql(_near) + ' AS DOUBLE), 1)' if i == 16 else f'm{i}'}" for i in W.METRICS if i != 4)
+ROWS = f"""{BLOCKS}, {_WORTH}, pg AS MATERIALIZED (SELECT doc_id, {_wide} FROM ({_pages}) GROUP BY doc_id),
+wi AS MATERIALIZED (SELECT f.doc_id, pg.* EXCLUDE (doc_id), m13, m14, m15, worth, sources, prom FROM (SELECT DISTINCT doc_id, project_id FROM fx_document) f LEFT JOIN pg ON pg.doc_id = f.doc_id {_own} LEFT JOIN wo ON wo.project_id = f.project_id),
+m AS MATERIALIZED (SELECT doc_id, metric_id, CASE metric_id {_case} END AS score FROM wi, (SELECT unnest(range(1, 17)) AS metric_id))"""
+
+
+EXACT = 1e-9  # so that halves are rounded up whatever the order of summing
+
+
 def roll_up(rows: DataFrame, spark: SparkSession, by: str = "doc_id", pillar_weights: dict[str, float] | None = None) -> DataFrame:
     """(by, one column a pillar, overall, band, provisional, available): weighted means over the metrics that have a score; a pillar needs one that is
     measured or a proxy; pillars are rounded before the overall mean, and weights of missing parts go to the others."""
     dims = spark.createDataFrame([(i, p, w, s != "estimate") for i, (_, p, w, s, _) in W.METRICS.items()], "metric_id int, pillar string, weight double, firm boolean")
     x = rows.where("score is not null").join(F.broadcast(dims), "metric_id")
     pick = lambda p: F.when(F.col("pillar") == p, F.col("weight"))
-    part = {p: F.when(F.sum(F.when((F.col("pillar") == p) & F.col("firm"), 1)) > 0, F.round(F.sum(pick(p) * F.col("score")) / F.sum(pick(p)), 1)) for p in W.PILLARS}
+    part = {p: F.when(F.sum(F.when((F.col("pillar") == p) & F.col("firm"), 1)) > 0, F.round(F.sum(pick(p) * F.col("score")) / F.sum(pick(p)) + EXACT, 1)) for p in W.PILLARS}
     g = x.groupBy(by).agg(*[c.alias(p) for p, c in part.items()], F.count(F.lit(1)).alias("available"))
     weights = {**W.PILLARS, **(pillar_weights or {})}
     top = sum((F.coalesce(F.col(p) * w, F.lit(0.0)) for p, w in weights.items()), F.lit(0.0))
     low = sum((F.when(F.col(p).isNotNull(), w).otherwise(0.0) for p, w in weights.items()), F.lit(0.0))
-    g = g.withColumn("overall", F.when(F.coalesce(*W.PILLARS).isNotNull(), F.round(top / F.when(low == 0, 1.0).otherwise(low), 1)))
+    g = g.withColumn("overall", F.when(F.coalesce(*W.PILLARS).isNotNull(), F.round(top / F.when(low == 0, 1.0).otherwise(low) + EXACT, 1)))
     band = F.when(F.col("overall").isNull(), "Not available")
     for least, name in W.BANDS:
         band = band.when(F.col("overall") >= least, name)
@@ -260,38 +311,27 @@ def roll_up(rows: DataFrame, spark: SparkSession, by: str = "doc_id", pillar_wei
 
 @query
 def r1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pillar and overall scores of every page."""
-    return roll_up(metric_rows(spark, sf_dir), spark)
-
-
-@query
-def r1_scores_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pillar and overall scores of every page over all metrics."""
-    return roll_up(all_metric_rows(spark, sf_dir), spark)
+    return roll_up(metric_rows(spark, sf_dir), spark)
 
 
-_rows = " UNION ALL ".join(f"SELECT doc_id, {i} AS metric_id, round(score, 1) AS score FROM ({s})" for i, s in PAGE_SQL.items())
 _dims = ", ".join(f"({i}, '{p}', {w}, {s != 'estimate'})" for i, (_, p, w, s, _) in W.METRICS.items())
-_pillar = {p: f"CASE WHEN count(*) FILTER (WHERE pillar = '{p}' AND firm) > 0 THEN round(CAST(sum(weight * score) FILTER (WHERE pillar = '{p}') / sum(weight) FILTER (WHERE pillar = '{p}') AS DOUBLE), 1) END" for p in W.PILLARS}
+_pillar = {p: f"CASE WHEN count(*) FILTER (WHERE pillar = '{p}' AND firm) > 0 THEN round(CAST(sum(weight * score) FILTER (WHERE pillar = '{p}') / sum(weight) FILTER (WHERE pillar = '{p}') AS DOUBLE) + 1e-9, 1) END" for p in W.PILLARS}
 _band = "CASE WHEN overall IS NULL THEN 'Not available' " + " ".join(f"WHEN overall >= {b} THEN '{n}'" for b, n in W.BANDS) + " END"
-SQL["r1_scores"] = f"""WITH m AS ({_rows}), dm(metric_id, pillar, weight, firm) AS (VALUES {_dims}), g AS (SELECT doc_id, {', '.join(f'{s} AS {p}' for p, s in _pillar.items())}, count(*) AS available FROM m JOIN dm USING (metric_id) WHERE score IS NOT NULL GROUP BY doc_id),
-o AS (SELECT *, CASE WHEN coalesce({', '.join(W.PILLARS)}) IS NOT NULL THEN round(CAST(({' + '.join(f'coalesce({p} * {w}, 0)' for p, w in W.PILLARS.items())}) / nullif({' + '.join(f'CASE WHEN {p} IS NULL THEN 0.0 ELSE {w} END' for p, w in W.PILLARS.items())}, 0) AS DOUBLE), 1) END AS overall FROM g)
+SQL["r1_scores"] = f"""WITH {ROWS}, dm(metric_id, pillar, weight, firm) AS (VALUES {_dims}), g AS (SELECT doc_id, {', '.join(f'{s} AS {p}' for p, s in _pillar.items())}, count(*) AS available FROM m JOIN dm USING (metric_id) WHERE score IS NOT NULL GROUP BY doc_id),
+o AS (SELECT *, CASE WHEN coalesce({', '.join(W.PILLARS)}) IS NOT NULL THEN round(CAST(({' + '.join(f'coalesce({p} * {w}, 0)' for p, w in W.PILLARS.items())}) / nullif({' + '.join(f'CASE WHEN {p} IS NULL THEN 0.0 ELSE {w} END' for p, w in W.PILLARS.items())}, 0) AS DOUBLE) + 1e-9, 1) END AS overall FROM g)
 SELECT doc_id, {', '.join(W.PILLARS)}, overall, {_band} AS band, {' OR '.join(f'{p} IS NULL' for p in W.PILLARS)} AS provisional, available FROM o"""
 
 
 @query
 def k3_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics that a page has no score for."""
-    return metric_rows(spark, sf_dir).where("score is null").select("doc_id", "metric_id")
+    """Metrics that a page has no score for, and what each has to have."""
+    needs = F.create_map(*[F.lit(x) for kv in W.NEEDS.items() for x in kv])
+    return metric_rows(spark, sf_dir).where("score is null").select("doc_id", "metric_id", F.element_at(needs, F.col("metric_id")).alias("needs"))
 
 
-@query
-def k3_gaps_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics, of all, that a page has no score for."""
-    return all_metric_rows(spark, sf_dir).where("score is null").select("doc_id", "metric_id")
-
-
-SQL["k3_gaps"] = f"WITH m AS ({_rows}) SELECT doc_id, metric_id FROM m WHERE score IS NULL"
+_needs = "CASE metric_id " + " ".join(f"WHEN {i} THEN {S.q(n)}" for i, n in W.NEEDS.items()) + " END"
+SQL["k3_gaps"] = f"WITH {ROWS} SELECT doc_id, metric_id, {_needs} AS needs FROM m WHERE score IS NULL"
 
 
 def extremes(rows: DataFrame) -> DataFrame:
@@ -306,30 +346,14 @@ def k5_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extremes(metric_rows(spark, sf_dir))
 
 
-@query
-def k5_extremes_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all metrics."""
-    return extremes(all_metric_rows(spark, sf_dir))
-
-
-SQL["k5_extremes"] = f"""WITH m AS ({_rows}), x AS (SELECT *, CASE WHEN score >= 75 THEN 'strength' ELSE 'weakness' END AS side FROM m WHERE score >= 75 OR score < 60)
+SQL["k5_extremes"] = f"""WITH {ROWS}, x AS (SELECT *, CASE WHEN score >= 75 THEN 'strength' ELSE 'weakness' END AS side FROM m WHERE score >= 75 OR score < 60)
 SELECT doc_id, side, row_number() OVER (PARTITION BY doc_id, side ORDER BY CASE WHEN side = 'strength' THEN -score ELSE score END, metric_id) AS rank, metric_id, score FROM x"""
 
 
 @query
 def k4_cited_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every project, the five domains most cited in its answers that are not the target's; ties by the domain."""
-    c = _judged_citations(spark, sf_dir).where("url <> '' and not is_target").select("project_id", urls.registrable_domain(F.col("url")).alias("domain")).groupBy("project_id", "domain").agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("n").desc(), "domain")).cast("bigint")).where("rank <= 5")
-
-
-SQL["k4_cited_domains"] = f"""WITH {ENT}, {CITES}, {_JC}, c AS (SELECT project_id, {S.domain('url')} AS domain, count(*) AS n FROM jc WHERE url <> '' AND NOT is_target GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, domain) AS rank FROM c) SELECT * FROM r WHERE rank <= 5"""
-
-
-@query
-def k4_cited_domains_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over answers that don't cite the target, without citations of supplied pages known to mention the entity; of pages with one URL, the last counts."""
+    """Of every project, the five domains most cited in answers that don't cite the target, without the target's own and without citations of supplied pages known to
+    mention the entity; ties by the domain. Of pages with one URL, the last counts."""
     key = lambda c: F.regexp_replace(urls.normalize_url(c), "/+$", "")
     c = _judged_citations(spark, sf_dir)
     said = read_table(spark, sf_dir, "fx_answer").where("trim(coalesce(text, '')) <> ''").select("answer_id")
@@ -341,3 +365,37 @@ def k4_cited_domains_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = x.select("project_id", key(F.col("url")).alias("page"), urls.registrable_domain(F.col("url")).alias("domain")).where("domain <> ''").join(known, ["project_id", "page"], "left_anti")
     n = x.groupBy("project_id", "domain").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("n").desc(), "domain")).cast("bigint")).where("rank <= 5")
+
+
+def _normal_sql(u: str) -> str:
+    from lumenpage.plans.text_queries import SQL as T
+
+    return T["u1_normalize_url"].split("SELECT DISTINCT doc_id, ", 1)[1].rsplit(" AS normal FROM", 1)[0].replace("url", u)
+
+
+def _page_sql(u: str) -> str:
+    return f"regexp_replace({_normal_sql(u)}, '/+$', '')"
+
+
+SQL["k4_cited_domains"] = f"""WITH {ENT}, {CITES}, {_JC}, kd AS (SELECT project_id, {_page_sql('url')} AS page, arg_max(coalesce(ok, FALSE) AND {sql_hit("coalesce(text, '')")}, doc_id) AS names FROM fx_document JOIN e USING (project_id) WHERE kind = 'external' AND coalesce(url, '') <> '' GROUP BY ALL),
+c AS (SELECT project_id, {S.domain('url')} AS domain, count(*) AS n FROM jc WHERE url <> '' AND {S.domain('url')} <> '' AND answer_id IN (SELECT answer_id FROM fx_answer WHERE trim(coalesce(text, '')) <> '') AND answer_id NOT IN (SELECT answer_id FROM jc WHERE is_target)
+ AND NOT EXISTS (SELECT 1 FROM kd WHERE kd.project_id = jc.project_id AND kd.page = {_page_sql('jc.url')} AND kd.names) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, domain) AS rank FROM c) SELECT * FROM r WHERE rank <= 5"""
+
+
+def a6_answers_for_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers that belong to each of a project's queries: those with the same query, whatever its case and blanks at its ends, and those without a query for the
+    main one."""
+    from lumenpage.plans.source_queries import q_all_queries
+
+    q = q_all_queries(spark, sf_dir).select("project_id", F.lower("query").alias("k"), "pos")
+    a = read_table(spark, sf_dir, "fx_answer").where("trim(coalesce(text, '')) <> ''").select("project_id", "answer_id", F.lower(F.trim(F.coalesce("query", F.lit("")))).alias("k")).distinct()
+    same = a.where("k <> ''").join(q, ["project_id", "k"]).select("project_id", "pos", "answer_id")
+    first = q.groupBy("project_id").agg(F.min("pos").alias("pos"))
+    return same.unionByName(a.where("k = ''").join(first, "project_id").select("project_id", "pos", "answer_id"))
+
+
+QUERIES["a6_answers_for_query"] = a6_answers_for_query
+SQL["a6_answers_for_query"] = """WITH p AS (SELECT DISTINCT project_id, list_concat([query], coalesce(extra_queries, [])) AS qs FROM fx_project), x AS (SELECT project_id, trim(unnest(qs)) AS q, generate_subscripts(qs, 1) - 1 AS pos FROM p),
+q AS (SELECT project_id, lower(q) AS k, min(pos) AS pos FROM x WHERE coalesce(q, '') <> '' GROUP BY ALL), a AS (SELECT DISTINCT project_id, answer_id, lower(trim(coalesce(query, ''))) AS k FROM fx_answer WHERE trim(coalesce(text, '')) <> '')
+SELECT project_id, pos, answer_id FROM a JOIN q USING (project_id, k) WHERE k <> '' UNION ALL SELECT project_id, f.pos, answer_id FROM a JOIN (SELECT project_id, min(pos) AS pos FROM q GROUP BY project_id) f USING (project_id) WHERE k = ''"""

@@ -253,9 +253,10 @@ SELECT dd.doc_id, coalesce(related, 0) AS related, coalesce(typed, 0) AS typed,
 FROM dd LEFT JOIN rg ON rg.doc_id = dd.doc_id LEFT JOIN rt ON rt.doc_id = dd.doc_id"""
 
 
-def _passage_sims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def passage_sims(spark: SparkSession, sf_dir: str, only: str = "true") -> tuple[DataFrame, DataFrame]:
+    """(passages, probes): the passages of the documents that meet `only`, with the similarity of each to its project's query."""
     p = B.passages(B.block_table(spark, sf_dir))
-    probes = documents(spark, sf_dir, "project_id").join(primary_queries(spark, sf_dir), "project_id")
+    probes = documents(spark, sf_dir, "project_id", "kind", "ok").where(only).join(primary_queries(spark, sf_dir), "project_id")
     probes = probes.join(p.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "project_id", F.lit(0).alias("probe"), F.col("query").alias("text"))
     sims = tfidf_similarity(p, probes.drop("project_id"), ["doc_id"], "pos", "probe").select("doc_id", "pos", "sim")
     x = p.join(probes.select("doc_id", "project_id", F.col("text").alias("query")), "doc_id").join(sims, ["doc_id", "pos"], "left").withColumn("sim", F.round(F.coalesce("sim", F.lit(0.0)), 6))
@@ -265,7 +266,7 @@ def _passage_sims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 @query
 def m12_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevance of a page's passages, and of those about the entity, to the query; NULL without passages."""
-    x, probes = _passage_sims(spark, sf_dir)
+    x, probes = passage_sims(spark, sf_dir)
     pats = entities(spark, sf_dir).select("project_id", "pattern")
     qs = primary_queries(spark, sf_dir).select("project_id", F.transform(qf.query_terms(F.col("query")), text.light_stem).alias("a"), text.stem_set(F.col("query")).alias("z"))
     qs = qs.select("project_id", F.when(F.size("a") > 0, F.col("a")).otherwise(F.col("z")).alias("terms"))

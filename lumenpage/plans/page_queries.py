@@ -309,3 +309,6 @@ def v1_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["v1_cosine"] = """WITH e AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 s AS (SELECT p.vec_id AS probe, e.vec_id, round(list_dot_product(e.v, p.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(p.v, p.v))), 5) AS sim FROM e JOIN e p ON p.vec_id % 100 = 0 AND p.vec_id <> e.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY sim DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 5"""
+
+SQL["m1_direct_answer"] = f"""WITH o AS ({SQL['m1_opening']}), a AS ({SQL['m1_question_answers']})
+SELECT o.doc_id, round(0.5 * opening + 0.5 * coalesce(answered / questions * 100, 25.0), 4) AS score FROM o LEFT JOIN a ON a.doc_id = o.doc_id"""

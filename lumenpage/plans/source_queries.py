@@ -88,7 +88,8 @@ def priorities(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     x = rows.where(F.col("score") < W.THRESHOLD).join(F.broadcast(dims), "metric_id").join(worth, "doc_id").join(near, "doc_id", "left")
     w = W.PRIORITY
     p = w["weakness"] * (100 - F.col("score")) / 100 + w["impact"] * F.col("impact") + w["query"] * F.col("worth") + w["entity"] * F.coalesce("near", F.lit(50.0)) / 100 + w["effort"] * F.col("ease") + w["evidence"] * F.col("sure")
-    return x.select("doc_id", "metric_id", F.round(p + 1e-9, 3).alias("priority"))
+    sure = p + 1e-9
+    return x.select("doc_id", "metric_id", F.round(sure, 3).alias("priority"), F.when(sure >= 0.72, "High").when(sure >= 0.55, "Medium").otherwise("Low").alias("label"))
 
 
 @query
@@ -97,18 +98,11 @@ def k1_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priorities(A.metric_rows(spark, sf_dir), spark, sf_dir)
 
 
-@query
-def k1_priorities_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all metrics."""
-    return priorities(A.all_metric_rows(spark, sf_dir), spark, sf_dir)
-
-
 _dims = ", ".join(f"({i}, {w / 0.3!r}, {({1: 1.0, 2: 0.6, 3: 0.3})[e]}, {W.EVIDENCE_STRENGTH[s]})" for i, (_, _, w, s, e) in W.METRICS.items())
 _w = W.PRIORITY
-SQL["k1_priorities"] = f"""WITH m AS ({A._rows}), dm(metric_id, impact, ease, sure) AS (VALUES {_dims}), q AS (SELECT DISTINCT project_id, {A._intent_sql()} AS intent FROM fx_project WHERE trim(coalesce(query, '')) <> ''),
-wo AS (SELECT DISTINCT f.doc_id, coalesce({A._val}, 0.6) AS worth FROM fx_document f LEFT JOIN q USING (project_id)), n AS (SELECT doc_id, coalesce(score, 50.0) AS near FROM m WHERE metric_id = 9)
-SELECT m.doc_id, m.metric_id, round(CAST({_w['weakness']} * (100 - score) / 100 + {_w['impact']} * impact + {_w['query']} * worth + {_w['entity']} * coalesce(near, 50.0) / 100 + {_w['effort']} * ease + {_w['evidence']} * sure AS DOUBLE) + 1e-9, 3) AS priority
-FROM m JOIN dm USING (metric_id) JOIN wo ON wo.doc_id = m.doc_id LEFT JOIN n ON n.doc_id = m.doc_id WHERE score < {W.THRESHOLD}"""
+SQL["k1_priorities"] = f"""WITH {A.ROWS}, dm(metric_id, impact, ease, sure) AS (VALUES {_dims}), n AS (SELECT doc_id, avg(score) AS near FROM m WHERE metric_id IN (9, 12) GROUP BY doc_id)
+SELECT doc_id, metric_id, round(p, 3) AS priority, CASE WHEN p >= 0.72 THEN 'High' WHEN p >= 0.55 THEN 'Medium' ELSE 'Low' END AS label FROM (SELECT m.doc_id, m.metric_id, CAST({_w['weakness']} * (100 - score) / 100 + {_w['impact']} * impact + {_w['query']} * coalesce(worth, 0.6) + {_w['entity']} * coalesce(near, 50.0) / 100 + {_w['effort']} * ease + {_w['evidence']} * sure AS DOUBLE) + 1e-9 AS p
+FROM m JOIN dm USING (metric_id) JOIN wi ON wi.doc_id = m.doc_id LEFT JOIN n ON n.doc_id = m.doc_id WHERE score < {W.THRESHOLD})"""
 
 
 def report_lines(r: DataFrame) -> DataFrame:
@@ -122,12 +116,6 @@ def o2_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_lines(A.r1_scores(spark, sf_dir))
 
 
-@query
-def o2_report_lines_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all metrics."""
-    return report_lines(A.r1_scores_full(spark, sf_dir))
-
-
 @query
 def s7_collected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sources of every project: all its own pages and pasted ones, and the first 15 external pages by id."""
@@ -179,12 +167,15 @@ def structured_data(docs: DataFrame, pattern: str) -> DataFrame:
 
 @query
 def v5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of the embeddings by k-means, k the number of labels. Labels of clusters have no fixed meaning."""
+    """Clusters of the embeddings by k-means, k the number of labels but at most half of the vectors; fewer than three vectors are one cluster. Labels of clusters have no fixed meaning."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features")).dropDuplicates(["vec_id"])
-    return KMeans(k=10, seed=0, maxIter=20).fit(e).transform(e).select("vec_id", F.col("prediction").alias("cluster"))
+    n = e.count()
+    if n < 3:
+        return e.select("vec_id", F.lit(0).alias("cluster"))
+    return KMeans(k=max(2, min(10, n // 2)), seed=0, maxIter=20).fit(e).transform(e).select("vec_id", F.col("prediction").alias("cluster"))
 
 
 def action_plan(ranked: DataFrame, spark: SparkSession) -> DataFrame:
@@ -201,12 +192,6 @@ def k6_action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return action_plan(k1_priorities(spark, sf_dir), spark)
 
 
-@query
-def k6_action_plan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all metrics."""
-    return action_plan(k1_priorities_full(spark, sf_dir), spark)
-
-
 _keys = ", ".join(f"({i}, '{k}', {e})" for i, (k, _, _, _, e) in W.METRICS.items())
 SQL["k6_action_plan"] = f"""WITH k AS ({SQL['k1_priorities']}), kd(metric_id, key, effort) AS (VALUES {_keys}), h AS (SELECT doc_id, priority, k.metric_id, key, CASE WHEN effort = 1 AND priority >= 0.55 THEN 'immediate' WHEN effort = 3 THEN 'strategic' ELSE 'near_term' END AS horizon FROM k JOIN kd USING (metric_id))
 SELECT doc_id, horizon, string_agg(key, ', ' ORDER BY priority DESC, metric_id) AS plan FROM h GROUP BY doc_id, horizon"""
@@ -222,7 +207,8 @@ def o2_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_rows(A.r1_scores(spark, sf_dir))
 
 
-@query
-def o2_json_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all metrics."""
-    return json_rows(A.r1_scores_full(spark, sf_dir))
+_pillars = ", ".join(f"'{p}': {p}" for p in W.PILLARS)
+SQL["o2_json"] = f"WITH r AS ({A.SQL['r1_scores']}) SELECT doc_id, CAST(to_json({{'overall': overall, 'band': band, 'provisional': provisional, {_pillars}}}) AS VARCHAR) AS json FROM r"
+SQL["o2_report_lines"] = f"WITH r AS ({A.SQL['r1_scores']}) SELECT doc_id, '| ' || doc_id || ' | ' || coalesce(printf('%.1f', overall), '-') || ' | ' || band || ' |' AS line FROM r"
+SQL["s11_url_lines"] = f"""WITH p AS (SELECT DISTINCT project_id, coalesce(website, '') || chr(10) || coalesce(array_to_string(list_transform(competitors, lambda c: c.domain), ', '), '') AS lines FROM fx_project),
+x AS (SELECT project_id, unnest(string_split_regex(lines, '[\\s,]+')) AS u FROM p) SELECT DISTINCT project_id, {A._normal_sql('u')} AS url FROM x WHERE u <> ''"""

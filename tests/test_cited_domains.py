@@ -18,5 +18,5 @@ def test_cited_domains(spark, sf_dir, tmp_path):
     for name, rows in made.items():
         schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
         spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    got = {(r.domain, r.n, r["rank"]) for r in entry.queries()["k4_cited_domains_full"](spark, str(tmp_path)).collect()}
+    got = {(r.domain, r.n, r["rank"]) for r in entry.queries()["k4_cited_domains"](spark, str(tmp_path)).collect()}
     assert got == {("c.example", 2, 1), ("b.example", 1, 2), ("d.example", 1, 3)}

@@ -14,7 +14,7 @@ def by(df, key):
 
 @pytest.fixture(scope="module")
 def rows(spark, sf_dir):
-    return {(r.doc_id, r.metric_id): r.score for r in A.all_metric_rows(spark, sf_dir).collect()}
+    return {(r.doc_id, r.metric_id): r.score for r in A.metric_rows(spark, sf_dir).collect()}
 
 
 def test_all_metrics(spark, sf_dir, rows):
@@ -39,7 +39,7 @@ def test_roll_up(spark, sf_dir, rows):
     for (d, i), s in rows.items():
         if s is not None:
             want[d][i] = s
-    got = {r.doc_id: r for r in entry.queries()["r1_scores_full"](spark, sf_dir).collect()}
+    got = {r.doc_id: r for r in entry.queries()["r1_scores"](spark, sf_dir).collect()}
     assert set(got) == set(want) and any(r.authority is not None and not r.provisional for r in got.values())
     for d, have in want.items():
         pillars = {}

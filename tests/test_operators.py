@@ -24,10 +24,23 @@ def test_html_page():
         ("heading", "Ledgers for small bakeries"), ("p", "Ovenbook keeps the books of bakeries in three towns"), ("p", "Second paragraph without an end tag here"),
         ("list", "Flour and yeast ; Salt from Salt"), ("table", "Item: Bun; Price: 2."),
     ]
-    assert d["blocks"][3]["ext_links"] == 1 and d["published"] == "2026-03-02T10:00:00Z and more th" and d["schema_types"] == ["Organization", "Article"] and len(d["jsonld"]) == 3
+    assert d["blocks"][3]["ext_links"] == 1 and d["published"] == "2026-03-02T10:00:00Z and more th" and d["schema_types"] == ["Article", "Organization"] and len(d["jsonld"]) == 3
     assert d["links"] == [{"href": "https://salt.example/x", "text": "Salt", "external": True}] and d["canonical"] == "https://ovenbook.example/guide" and d["lang"] == "en"
 
 
+def test_html_fidelity():
+    """Order of JSON-LD, the first of several metadata tags, names of columns, the list around an item, what is marked as furniture, and pages of little text."""
+    long = "The baker weighs flour, salt and water for the rye loaf and waits an hour. " * 9
+    html = f"""<html><head><meta property="article:published_time" content=""><meta property="article:published_time" content="2001"><meta itemprop="datePublished" content="2002"><meta name="robots" content="noindex">
+    <script type="application/ld+json">[{{"@type": "A", "@graph": [{{"@type": "B"}}, {{"@type": ["C", "A"]}}]}}, {{"@type": "D"}}]</script></head><body><div class="top footer"><p>Footer by its class is dropped</p></div>
+    <div class="navigation related"><p>This part stays in the page</p></div><p>{long}</p><p>One<b>two</b>three parts</p><table><tr><td>Loaf</td><td>Price</td></tr><tr><td>Rye</td><td>4</td></tr></table><ul><div><li>first</li></div><li>second</li></ul></body></html>"""
+    d = parse_page(html, "https://loaf.example/")
+    assert d["schema_types"] == ["D", "A", "C", "B"] and d["published"] == "2002" and d["robots"] == "noindex" and d["notes"] == []
+    assert [(b["type"], b["text"]) for b in d["blocks"]] == [("p", "This part stays in the page"), ("p", long.strip()), ("p", "One two three parts"), ("table", "Rye: 4".replace("Rye", "Loaf: Rye; Price") + "."), ("list", "first ; second")]
+    few = parse_page("<body><main><h1>Hi</h1></main><div>Some bare words that stand in no block at all here</div></body>", "")
+    assert few["blocks"][0]["text"].startswith("Hi Some bare words") and few["notes"] and not few["ok"]
+
+
 def test_html_rows_never_fail(spark):
     df = spark.createDataFrame([(1, PAGE, "https://ovenbook.example"), (2, None, None), (3, "", "x"), (4, "<p>short", None), (5, "<" * 5000, "http://[bad"), (6, "<div>" * 3000 + "deep", "")], "id int, html string, url string")
     rows = {r.id: r for r in extract_documents(df, "id", "html", "url").collect()}
