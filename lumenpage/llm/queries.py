@@ -17,20 +17,29 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+KEYS = ["tbl", "rec_id"]
+
+
+def _garbled(texts: DataFrame) -> tuple[DataFrame, garbled.Model, DataFrame]:
+    """(records, model, ciphers) of the garbled records among the texts."""
+    found = stage(garbled.stretches(texts, KEYS, F.col("origin"), "text"), "found")
+    model = garbled.learn(found)
+    weighed = garbled.weigh_records(found, KEYS, model)
+    ciphers = garbled.learn_ciphers(weighed, model)
+    return garbled.judge(weighed, KEYS, model, ciphers), model, ciphers
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tbl, rec_id) of every record whose text holds a stretch decoded with a wrong encoding."""
-    found = stage(garbled.stretches(_texts(spark, sf_dir), ["tbl", "rec_id"], F.col("origin"), "text"), "found")
-    return garbled.judge(found, ["tbl", "rec_id"], garbled.learn(found))
+    return _garbled(_texts(spark, sf_dir))[0]
 
 
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tbl, rec_id, restored) of every record whose text changes when its garbled stretches are undone."""
+    """(tbl, rec_id, restored) of every record that holds a garbled stretch, with its text after they are undone."""
     texts = _texts(spark, sf_dir)
-    found = stage(garbled.stretches(texts, ["tbl", "rec_id"], F.col("origin"), "text"), "found")
-    model = garbled.learn(found)
-    bad = garbled.judge(found, ["tbl", "rec_id"], model)
-    wanted = texts.join(bad, ["tbl", "rec_id"], "left_semi").dropDuplicates(["tbl", "rec_id"])
-    return garbled.restore(wanted, ["tbl", "rec_id"], "text", model)
+    bad, model, ciphers = _garbled(texts)
+    wanted = texts.join(bad, KEYS, "left_semi").dropDuplicates(KEYS)
+    return garbled.restore(wanted, KEYS, "text", model, source=F.col("origin"), ciphers=ciphers)
 
 
 P2 = {"words": 3, "similarity": 0.5, "least_words": 50}

@@ -40,12 +40,16 @@ def garbling(spark):
     rows += [(5000, "h", None, "x"), (5001, None, "", "x"), (5002, None, "plain ascii", "x")]
     df = spark.createDataFrame(rows + rows[:9], "rec_id long, origin string, text string, chunks string")
     found = G.stage(G.stretches(df, ["rec_id"], F.col("origin"), "text"), "test")
-    return df, found, G.learn(found), bad, right
+    model = G.learn(found)
+    weighed = G.weigh_records(found, ["rec_id"], model)
+    return df, weighed, model, bad, right
 
 
 def test_garbled_found(garbling):
-    _, found, model, bad, _ = garbling
-    got = [r.rec_id for r in G.judge(found, ["rec_id"], model).collect()]
+    _, weighed, model, bad, _ = garbling
+    ciphers = G.learn_ciphers(weighed, model)
+    assert ciphers.count() == 0
+    got = [r.rec_id for r in G.judge(weighed, ["rec_id"], model, ciphers).collect()]
     assert len(got) == len(set(got)) and set(got) == bad
 
 
@@ -60,12 +64,55 @@ def test_garbled_restored(garbling):
 def test_garbled_empty(spark, garbling):
     df = garbling[0].limit(0)
     found = G.stage(G.stretches(df, ["rec_id"], F.col("origin"), "text"), "test")
-    assert G.judge(found, ["rec_id"], G.learn(found)).count() == 0
+    model = G.learn(found)
+    weighed = G.weigh_records(found, ["rec_id"], model)
+    assert G.judge(weighed, ["rec_id"], model, G.learn_ciphers(weighed, model)).count() == 0
+
+
+GERMAN = """Straße größer schön über Köln früher Grüße Mühle Bäcker Brötchen Käse süß heiß weiß groß Tür Schlüssel Möbel Löffel Küche Bücher Häuser Gärten Wälder Flüsse Füße Hände Zähne Vögel Äpfel Öfen Übung
+müde kühl grün blöd böse fröhlich täglich nächste ähnlich älter jünger höher länger stärker wärmer kälter Länge Höhe Größe Stärke Wärme Kälte Lösung Öffnung Führung Prüfung Gebühr Gefühl Geschäft Gerät Gespräch Getränk
+Frühstück Rückgabe Stück Glück Brücke Lücke Mücke Rücken drücken schicken schützen nützen stürzen kürzen würzen setzen""".split()
+RUSSIAN = """дорога большая красивая через раньше мельница пекарь хлеб сыр сладкий горячий белый высокая дверь ключ мебель ложка кухня книги дома сады леса реки ноги руки зубы птицы яблоки печи усталый холодный зелёный злой весёлый
+ежедневно следующий похожий старше моложе выше длиннее сильнее теплее холоднее длина высота размер сила тепло холод решение открытие проверка плата чувство магазин прибор разговор напиток завтрак возврат кусок счастье мост""".split()
+
+
+@pytest.mark.parametrize("words,page", [(GERMAN, "hp_roman8"), (RUSSIAN, "cp855")])
+def test_unlisted_code_page(spark, words, page):
+    """A source in a code page that no table lists: its letters are learned from the other sources' language, and nothing else is touched."""
+    assert page not in G.READ_AS + G.WRITTEN_IN
+    rng = random.Random(9)
+    say = lambda: " ".join(rng.choice(words) for _ in range(9)) + "."
+    rows = [(i, f"host{i % 9}", say()) for i in range(900)]
+    lost = {i: say() for i in range(5000, 5120)}
+    rows += [(i, "odd.example", t.encode(page, "replace").decode("cp1252", "replace").replace("�", "?")) for i, t in lost.items()]
+    df = spark.createDataFrame(rows, "rec_id long, origin string, text string")
+    found = G.stage(G.stretches(df, ["rec_id"], F.col("origin"), "text"), "test")
+    model = G.learn(found)
+    weighed = G.weigh_records(found, ["rec_id"], model)
+    ciphers = G.learn_ciphers(weighed, model)
+    assert [r.source for r in ciphers.collect()] == ["odd.example"]
+    got = {r.rec_id for r in G.judge(weighed, ["rec_id"], model, ciphers).collect()}
+    assert got <= set(lost) and len(got) > 0.9 * len(lost)
+    out = {r.rec_id: r.restored for r in G.restore(df, ["rec_id"], "text", model, source=F.col("origin"), ciphers=ciphers).collect()}
+    assert all(out[i] == t for i, _, t in rows if i < 5000)
+    pairs = [(a.lower(), b.lower()) for i, t in lost.items() for a, b in zip(out[i].split(), t.split())]
+    assert sum(a == b for a, b in pairs) > 0.75 * len(pairs)
 
 
 DOC = "doc_id long, title string, text string, error string, ok boolean, url string"
 
 
+def test_what_phrases_hold():
+    """The test that spares records without a cue misses none."""
+    said = [
+        "Lorem Ipsum dolor", "Filler copy", "Your TITLE goes here", "Add a subheading", "Add your text", "asdf asdf", "Xxxxx xxxx", "Click edit to change", "Insert the name of a town here", "TODO: x", "Page not found", "/a was not found on this server",
+        "This page is no longer available", "This page isn't available", "ACCESS DENIED", "Too many requests", "Service temporarily unavailable", "Internal Server Error", "Bad gateway", "Something went wrong", "A database connection", "Fatal error: x",
+        "Uncaught TypeError", "Traceback (most recent", "Exception in thread", "Undefined index", "line 12, in render", "at com.shop.Cart(Cart.java:41)", "enable JavaScript", "requires scripts", "turn on javascript", "JavaScript is disabled", "Hello None,",
+    ]
+    marks = R.phrase_pattern()
+    assert all((marks.search(s) or R.NOTHING.search(s)) and R.may_hold(s) for s in said)
+
+
 def test_residue_on_unseen_hosts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/fx_document.parquet").select("doc_id", "title", "text", "error", "ok", "url")
     q = R.held_out_quality(docs)
