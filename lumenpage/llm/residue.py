@@ -67,6 +67,13 @@ PHRASES = {
     "crash": r"\bfatal error\b|\buncaught \w*(?:error|exception)|\btraceback \(most recent|\bexception in thread\b|\bundefined (?:array key|index|variable)\b|\bline \d+, in \w|\bat [\w.$]+\([\w.]+:\d+\)",
     "scripts": r"\b(?:enable|activate|requires?|turn on) (?:javascript|scripts?)\b|\bjavascript is (?:disabled|required|not enabled)\b",
 }
+# Of which every phrase above, in small letters, holds one, but for the lines of program stacks; and the spellings of nothing.
+HOLDS = (
+    "lorem ipsum", "dummy ", "placeholder ", "filler ", "sample ", " goes here", "add a ", "add your ", "add sub", "asdf asdf", "xxxx", "click edit to", "insert ", "todo:", "not found", "page isn't", "page is no longer",
+    "access denied", "too many requests", "unavailable", "internal server", "bad gateway", "went wrong", "database connection", "fatal error", "uncaught ", "traceback", "exception in", "undefined ", " script", "javascript",
+)
+STACK = re.compile(r"\bline \d+, in \w|:\d+\)")
+NONE = ("NaN", "null", "undefined", "nil", "None")
 NOTHING = re.compile(r"(?<![\w'\"`‘“])(?:NaN|null|undefined|nil|None(?! of\b))(?![\w'\"`’”])")
 ONLY_NOTHING = re.compile(r"\W*(?:none|null|nan|undefined|nil)\W*", re.I)
 
@@ -196,9 +203,22 @@ def fit(labelled: list[tuple[str, str, str | None, int, int]], steps: int = 600)
     return Model(weights, float(b))
 
 
+def may_hold(*fields: str | None) -> bool:
+    """False only if no unit of the fields holds a shape, a phrase or a stand-in for nothing."""
+    for v in fields:
+        if v:
+            low = v.lower()
+            if any(k in low for k in HOLDS) or (any(k in v for k in NONE) and NOTHING.search(v)) or (SHAPE_HINT.search(v) and SHAPE.search(v)) or (((", in " in low and "line " in low) or ("(" in v and ":" in v)) and STACK.search(low)):
+                return True
+            if len(v) < 20 and ONLY_NOTHING.fullmatch(v):
+                return True
+    return False
+
+
 def weak_labels(title: str | None, error: str | None, text: str | None, ok: bool | None, phrases: re.Pattern) -> list[tuple[str, str, int]]:
-    """(field, unit, label) of a record: 1 marked, 3 marked by a phrase, 2 said by a page whose fetch failed, 0 not marked, -1 not known."""
-    has = any(v and (SHAPE_HINT.search(v) and SHAPE.search(v) or phrases.search(v) or NOTHING.search(v)) for v in (title, error, text))
+    """(field, unit, label) of a record: 1 marked, 3 marked by a phrase, 2 said by a page whose fetch failed, 0 not marked, 4 not marked though it names such things,
+    -1 not known."""
+    has = may_hold(title, error, text)
     long = len(text or "") >= LONG and ok is not False
     out, about = [], False
     failed = ok is False and not (error and error.strip())
@@ -211,17 +231,17 @@ def weak_labels(title: str | None, error: str | None, text: str | None, ok: bool
                 prose = f == "p" and (META.search(rest) or (phrase and not shape))  # a notice or filler stands by itself, what is told of them stands in a paragraph
                 told = phrase and not shape and not phrases.search(QUOTED.sub(" ", u))
                 if prose or (f == "x" and (told or META.search(rest))):
-                    label = 0 if long else -1
+                    label = 4 if long else -1
                     about = about or long
                 elif f == "t" and phrase and not shape and long:
-                    label = 0 if META.search(rest) or about_words(rest) else -1
+                    label = 4 if META.search(rest) or about_words(rest) else -1
                 else:
                     label = 3 if phrase and not shape else 1
         if failed and f != "e" and not label:
             label = 2 if f in "xp" else -1
         out.append((f, u, label))
     if about:  # such things are the text's subject, so its title names them
-        out = [(f, u, 0 if f == "t" else label) for f, u, label in out]
+        out = [(f, u, 4 if f == "t" else label) for f, u, label in out]
     return out
 
 
@@ -242,9 +262,11 @@ def labelled_units(df: DataFrame, title: str, text: str, error: str, ok: str, ur
             out: list[list] = [[] for _ in range(6)]
             for t, x, e, good, host in zip(*(b.column(i).to_pylist() for i in range(5))):
                 drawn = xxhash.xxh32_intdigest(f"{host} {x}") < 2**32 // SAMPLE
+                if not drawn and good is not False and not e and not may_hold(t, x):
+                    continue  # no unit of it would be used
                 for f, u, mark in weak_labels(t, e, x, good, phrases):
-                    if mark > 0 or (mark == 0 and (drawn or f == "e" or META.search(u) and (SHAPE.search(u) or phrases.search(u)))):
-                        for c, v in zip(out, (f, u, t if t == u else None, len(x or ""), mark, host)):
+                    if mark > 0 or (mark == 0 and (drawn or f == "e")):
+                        for c, v in zip(out, (f, u, t if t == u else None, len(x or ""), mark % 4, host)):
                             c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()))], list(fields))
 
