@@ -21,8 +21,16 @@ def opens_dependent(c: Column) -> Column:
     return F.regexp_like(F.trim(c), F.lit("(?i)" + L.DEPENDENT_OPENER))
 
 
+# What a sentence must hold for a kind of fact, found without backtracking; most sentences stop here.
+HOLDS = {
+    "currency": "[0-9]", "date": "[0-9][0-9]", "measurement": "[0-9]", "quantity": "[0-9]", "definition": r"\s(?:is|are|refers to|means|stands for)\s(?:a|an|the)\b", "comparison": "(?i)than|compared|versus|vs",
+    "named_organisation": r"\s(?:" + "|".join(s.capitalize() for s in L.ORG_SUFFIXES) + r")\b",
+}
+
+
 def has_fact(c: Column, kind: str) -> Column:
-    return F.regexp_like(c, F.lit(L.FACTS[kind]))
+    held = F.contains(c, F.lit("%")) if kind == "percentage" else F.regexp_like(c, F.lit(HOLDS[kind]))
+    return held & F.regexp_like(c, F.lit(L.FACTS[kind]))
 
 
 def fact_kinds(c: Column) -> Column:
