@@ -27,6 +27,7 @@ from lumenpage.sources import ship_package, stage
 TOKENIZERS = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
 HEAD = 65_536  # entries of the broadcast word table
+DECODE_TASKS = 240  # least partitions of lists to be decoded
 FLUSH = 400_000  # distinct words a worker holds before it passes on its counts
 
 # Fixed value: the splitting pattern published with the rank files.
@@ -196,9 +197,11 @@ def decode_corpus(df: DataFrame, rec_id: str, ids: str, path: str = TOKENIZERS,
     """(rec_id, text): the text of every list of ids, by a join of ids with the tokenizer's pieces, which are broadcast. Lists are partitioned by record before
     they are exploded, so that pieces come together without another shuffle. An empty list gives the empty text, NULL gives NULL; equal rows
     of a record give one row; ids outside the vocabulary fail; bytes that are no UTF-8 become U+FFFD."""
-    lists = df.select(F.col(rec_id).alias("rec"), F.col(ids).alias("ids")).repartition("rec").dropDuplicates(["rec"])
+    spark = df.sparkSession
+    tasks = max(DECODE_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a number given is not coalesced: lists are small before they are exploded
+    lists = df.select(F.col(rec_id).alias("rec"), F.col(ids).alias("ids")).repartition(tasks, "rec").dropDuplicates(["rec"])
     each = lists.select("rec", F.size("ids").alias("n"), F.posexplode_outer("ids").alias("pos", "id"))
-    named = each.join(F.broadcast(piece_table(df.sparkSession, path, name)), "id", "left")
+    named = each.join(F.broadcast(piece_table(spark, path, name)), "id", "left")
     unknown = F.raise_error(F.concat(F.lit("no such token: "), F.col("id").cast("string")))
     piece = F.when(F.col("id").isNotNull(), F.coalesce("piece", unknown))
     whole = named.groupBy("rec").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("found"))
