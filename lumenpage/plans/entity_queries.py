@@ -346,13 +346,15 @@ def m8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subtopics of the query that a page covers in full, in part, or not at all; pages without passages are left out."""
     b = B.block_table(spark, sf_dir)
     p = B.passages(b).withColumn("text", F.concat_ws(". ", "heading", "text"))
-    probes = documents(spark, sf_dir, "project_id").join(p.select("doc_id").distinct(), "doc_id", "left_semi").join(F.broadcast(facets(spark, sf_dir)), "project_id").select("doc_id", "facet", "pattern", F.col("probe").alias("text"))
-    probes = stage(probes, "probes")
-    sims = tfidf_similarity(p.select("doc_id", "pos", "text"), probes.drop("pattern"), ["doc_id"], "pos", "facet")
-    pairs = p.select("doc_id", "pos", "text").join(probes.select("doc_id", "facet", "pattern"), "doc_id").select("doc_id", "facet", "pos", F.rlike("text", F.col("pattern")).alias("kw"))
+    asked = documents(spark, sf_dir, "project_id").join(p.select("doc_id").distinct(), "doc_id", "left_semi")
+    asked = stage(asked, "asked").hint("merge")  # a row a page: its file is so small that it would be broadcast
+    known = F.broadcast(stage(facets(spark, sf_dir), "facets"))  # joined last, so that no table has a subtopic's texts for every page
+    probes = asked.join(known, "project_id").select("doc_id", "facet", F.col("probe").alias("text"))
+    sims = tfidf_similarity(p.select("doc_id", "pos", "text"), probes, ["doc_id"], "pos", "facet")
+    pairs = p.select("doc_id", "pos", "text").join(asked, "doc_id").join(known, "project_id").select("doc_id", "facet", "pos", F.rlike("text", F.col("pattern")).alias("kw"))
     x = pairs.join(sims, ["doc_id", "pos", "facet"], "left").withColumn("sim", F.round(F.coalesce("sim", F.lit(0.0)), 6))
     a = x.groupBy("doc_id", "facet").agg(F.max("sim").alias("best"), F.sum(_f(F.col("kw"))).alias("hits"), F.coalesce(F.max(F.when(F.col("kw"), F.col("sim"))), F.lit(0.0)).alias("kw_sim"))
-    heads = b.where("type = 'heading'").select("doc_id", F.lower("text").alias("h")).join(probes.select("doc_id", "facet", "pattern"), "doc_id").groupBy("doc_id", "facet").agg(F.max(_f(F.rlike("h", F.col("pattern")))).alias("head"))
+    heads = b.where("type = 'heading'").select("doc_id", F.lower("text").alias("h")).join(asked, "doc_id").join(known, "project_id").groupBy("doc_id", "facet").agg(F.max(_f(F.rlike("h", F.col("pattern")))).alias("head"))
     a = a.join(heads, ["doc_id", "facet"], "left").na.fill(0.0, ["head"])
     full = ((F.col("hits") > 0) & (F.col("head") > 0)) | ((F.col("hits") >= 2) & (F.col("kw_sim") >= W.COVER_LOW)) | (F.col("best") >= W.COVER_HIGH)
     part = (F.col("hits") > 0) | (F.col("head") > 0) | (F.col("best") >= W.COVER_LOW)
