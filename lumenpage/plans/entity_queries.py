@@ -180,12 +180,12 @@ def named_roles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     d = d.withColumns({"s": text.sentences(F.col("text")), "target_n": F.regexp_count(text.text_or_empty(F.col("text")), F.col("pattern"))})
     counts = F.transform(known, lambda r, i: F.struct((i + 1000).alias("i"), r["name"].alias("name"), F.regexp_count(text.text_or_empty(F.col("text")), r["pattern"]).alias("n")))
     about = F.filter(F.transform("s", lambda x, i: F.struct(i.alias("sid"), x.alias("s"))), lambda y: F.rlike(y["s"], F.col("pattern")))
-    d = stage(d.select("doc_id", F.trim("entity").alias("entity"), "pattern", known.alias("rivals"), "s", about.alias("about"), "target_n", F.filter(counts, lambda c: c["n"] > 0).alias("counts")), "named")
+    d = stage(d.select("doc_id", F.trim("entity").alias("entity"), "pattern", known.alias("rivals"), "s", about.alias("about"), "target_n", F.filter(counts, lambda c: c["n"] > 0).alias("counts")), "named").hint("merge")  # as names repeat, files are far smaller than rows, and would be broadcast
     e = entity_table(d, "doc_id", "s").join(d.select("doc_id", "entity", "pattern", "rivals", F.transform("about", lambda y: y["sid"]).alias("about")), "doc_id")
     target = F.rlike("name", F.col("pattern")) | (F.lower("name") == F.lower("entity"))
     rival = F.exists("rivals", lambda r: F.rlike(F.col("name"), r["pattern"]))
     role = F.when(target, "target").when(rival, "competitor").when(F.arrays_overlap("sentences", "about"), "related").when(F.col("n") >= 2, "supporting").otherwise("unknown")
-    e = stage(e.select("doc_id", "name", "kind", "n", "rank", role.alias("role")), "roles")
+    e = stage(e.select("doc_id", "name", "kind", "n", "rank", role.alias("role")), "roles").hint("merge")
     plain = F.lit("BRAND_OR_PRODUCT").alias("kind")
     first = d.where("target_n > 0").join(e.where("role = 'target'"), "doc_id", "left_anti").select("doc_id", F.col("entity").alias("name"), plain, F.col("target_n").alias("n"), F.lit(0).alias("rank"), F.lit("target").alias("role"))
     seen = e.unionByName(first).select("doc_id", F.lower("name").alias("low"))

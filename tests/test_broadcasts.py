@@ -3,16 +3,20 @@
 import re
 
 import __spark_entry__ as entry
+import pytest
+from lumenpage.plans import authority_queries as A
+from lumenpage.plans import entity_queries as E
 
 
 def staged_and_broadcast(df):
-    """Names of the staged tables that a broadcast join of the planned query builds from."""
+    """Names of the staged tables that a broadcast join of the planned query builds from as they are; sums are shuffled first, which shows their size."""
     found = set()
 
     def walk(node):
         if node.nodeName().startswith("BroadcastHashJoin"):
             side = node.left() if node.buildSide().toString() == "BuildLeft" else node.right()
-            found.update(re.findall(r"lumenpage-([a-z]+)-", side.toString()))
+            if "Aggregate" not in side.toString():
+                found.update(re.findall(r"lumenpage-([a-z]+)-", side.toString()))
         for i in range(node.children().size()):
             walk(node.children().apply(i))
 
@@ -22,3 +26,28 @@ def staged_and_broadcast(df):
 
 def test_coverage_broadcasts_no_pages(spark, sf_dir):
     assert staged_and_broadcast(entry.queries()["m8_coverage"](spark, sf_dir)) <= {"facets"}
+
+
+@pytest.fixture(scope="module")
+def metrics(spark, sf_dir):
+    """The rows of all metrics, and what is broadcast on the way to them."""
+    found = set()
+
+    def watched(df, name):
+        found.update(staged_and_broadcast(df))
+        return stage(df, name)
+
+    stage = A.stage
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(A, "stage", watched)
+        m.setattr(E, "stage", watched)
+        rows = A.metric_rows(spark, sf_dir)
+    return rows, found
+
+
+@pytest.mark.parametrize("name", ["k1_priorities"])
+def test_scores_broadcast_no_pages(spark, sf_dir, metrics, monkeypatch, name):
+    """Of staged tables, only the subtopics and the metrics of projects."""
+    rows, found = metrics
+    monkeypatch.setattr(A, "metric_rows", lambda *_: rows)
+    assert found | staged_and_broadcast(entry.queries()[name](spark, sf_dir)) <= {"facets", "metric"}
