@@ -45,7 +45,7 @@ def metrics(spark, sf_dir):
     return rows, found
 
 
-@pytest.mark.parametrize("name", ["k1_priorities", "k5_extremes", "k3_gaps", "k6_action_plan", "o2_report_lines"])
+@pytest.mark.parametrize("name", ["k1_priorities", "k5_extremes", "k3_gaps", "k6_action_plan", "o2_report_lines", "o2_json"])
 def test_scores_broadcast_no_pages(spark, sf_dir, metrics, monkeypatch, name):
     """Of staged tables, only the subtopics and the metrics of projects."""
     rows, found = metrics
