@@ -45,7 +45,7 @@ def tfidf_similarity(passages: DataFrame, probes: DataFrame, call: list[str], pa
 
     dots = calls.mapInArrow(compare, ", ".join([*kinds, "__p string", "__q string", "sim double"]))
     types = dict(passages.dtypes)[passage], dict(probes.dtypes)[probe]
-    return dots.select(*call, F.col("__p").cast(types[0]).alias(passage), F.col("__q").cast(types[1]).alias(probe), "sim")
+    return dots.select(*call, F.col("__p").cast(types[0]).alias(passage), F.col("__q").cast(types[1]).alias(probe), "sim").hint("merge")  # as many rows as texts, so never broadcast
 
 
 def call_similarities(texts: list[tuple[str, str]]):

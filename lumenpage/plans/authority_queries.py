@@ -77,7 +77,7 @@ def a2_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("n") == 0, "absent").when(F.exists("own", tags.is_recommending), "recommended").when(F.col("listed"), "listed").otherwise("mentioned")
     first = F.when(F.col("n") > 0, F.round((F.regexp_instr("text", F.col("pattern")) - 1) / F.length("text") * 100, 1))
     marked = F.when(F.size("own") > 0, F.round(F.size(F.filter("own", tags.has_marker)) / F.size("own"), 2))
-    cites = _judged_citations(spark, sf_dir).groupBy("answer_id").agg(F.count(F.lit(1)).alias("citations"), F.sum(F.col("is_target").cast("int")).alias("own_citations"), F.min(F.when(F.col("is_target"), F.col("rank"))).alias("best"))
+    cites = _judged_citations(spark, sf_dir).groupBy("answer_id").agg(F.count(F.lit(1)).alias("citations"), F.sum(F.col("is_target").cast("int")).alias("own_citations"), F.min(F.when(F.col("is_target"), F.col("rank"))).alias("best")).hint("merge")  # a row an answer, so never broadcast
     y = x.select("answer_id", "project_id", F.col("n").cast("bigint").alias("mentions"), first.alias("first_pct"), kind.alias("kind"), marked.alias("attributable")).join(cites, "answer_id", "left")
     return y.select("answer_id", "mentions", "first_pct", "kind", "attributable", F.coalesce("citations", F.lit(0)).alias("citations"), F.coalesce("own_citations", F.lit(0)).alias("own_citations"), F.coalesce(F.round(1.0 / F.col("best"), 3), F.lit(0.0)).alias("prominence"))
 
@@ -99,7 +99,7 @@ def rival_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "fx_project").select("project_id", "competitors").distinct().select("project_id", F.explode("competitors").alias("c"))
     pats = p.select("project_id", name_pattern(F.col("c.name"), F.col("c.domain")).alias("pattern")).where("pattern is not null")
     a = read_table(spark, sf_dir, "fx_answer").where("trim(coalesce(text, '')) <> ''").select("answer_id", "project_id", "text").distinct()
-    return a.join(F.broadcast(pats), "project_id").groupBy("answer_id").agg(F.sum(F.regexp_count("text", F.col("pattern"))).alias("rivals"))
+    return a.join(F.broadcast(pats), "project_id").groupBy("answer_id").agg(F.sum(F.regexp_count("text", F.col("pattern"))).alias("rivals")).hint("merge")
 
 
 QUERIES["a4_rivals"] = rival_mentions
@@ -111,7 +111,7 @@ a AS (SELECT DISTINCT answer_id, project_id, text FROM fx_answer WHERE trim(coal
 def m15_citation_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the target among its answers' citations and mentions, of every project with answers; the weights of missing parts go to the others."""
     a = a2_answers(spark, sf_dir).join(rival_mentions(spark, sf_dir), "answer_id", "left")
-    a = a.join(read_table(spark, sf_dir, "fx_answer").select("answer_id", "project_id").distinct(), "answer_id")
+    a = a.join(read_table(spark, sf_dir, "fx_answer").select("answer_id", "project_id").distinct().hint("merge"), "answer_id")
     g = a.groupBy("project_id").agg(F.count(F.lit(1)).alias("answers"), F.sum("citations").alias("c"), F.sum("own_citations").alias("t"), F.sum("mentions").alias("m"), F.sum("rivals").alias("r"))
     part = lambda num, den, ok: F.when(ok & (den > 0), F.least(F.lit(100.0), num / den / 0.4 * 100))
     cite, mention = part(F.col("t"), F.col("c"), F.lit(True)), part(F.col("m"), F.col("m") + F.col("r"), F.col("r").isNotNull())
@@ -152,7 +152,7 @@ SELECT x.doc_id, project_id, mentions, links, mentions > 0 AND (p OR coalesce(h,
 def external_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, relevance): the mean of the three passages closest to the project's query, of every readable external page with passages."""
     x, _ = E.passage_sims(spark, sf_dir, "kind = 'external' and ok")
-    return x.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list("sim"), asc=False), 1, 3).alias("top")).select("doc_id", F.round(F.aggregate("top", F.lit(0.0), lambda s, v: s + v) / F.size("top"), 3).alias("relevance"))
+    return x.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list("sim"), asc=False), 1, 3).alias("top")).select("doc_id", F.round(F.aggregate("top", F.lit(0.0), lambda s, v: s + v) / F.size("top"), 3).alias("relevance")).hint("merge")
 
 
 @query
@@ -201,7 +201,7 @@ def project_worth(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = P.primary_queries(spark, sf_dir).withColumn("intent", qf.detect_intent(F.col("query"), F.col("entity")))
     value = F.create_map(*[F.lit(x) for kv in W.INTENT_VALUE.items() for x in kv])
     externals = P.documents(spark, sf_dir, "project_id").join(external_relevance(spark, sf_dir), "doc_id").groupBy("project_id").agg(F.avg(sim_to_score(F.col("relevance"), *W.SIM_RANGE)).alias("sources"))
-    prom = a2_answers(spark, sf_dir).join(read_table(spark, sf_dir, "fx_answer").select("answer_id", "project_id").distinct(), "answer_id").groupBy("project_id").agg(F.max("prominence").alias("prom"))
+    prom = a2_answers(spark, sf_dir).join(read_table(spark, sf_dir, "fx_answer").select("answer_id", "project_id").distinct().hint("merge"), "answer_id").groupBy("project_id").agg(F.max("prominence").alias("prom"))
     return q.select("project_id", "intent", F.element_at(value, F.col("intent")).alias("worth")).join(externals, "project_id", "left").join(prom, "project_id", "left")
 
 
@@ -251,7 +251,7 @@ PAGE_METRICS = {
     1: P.m1_direct_answer, 2: P.m2_headings, 3: P.m3_chunkability, 5: P.m5_information_density, 6: P.m6_fact_density, 7: P.m7_attribution, 8: E.m8_coverage, 9: E.m9_presence, 10: E.m10_clarity,
     11: E.m11_relationships, 12: E.m12_relevance,
 }
-AT_ONCE = 8  # metrics staged at a time
+AT_ONCE = 3  # metrics staged at a time; the driver holds plans, stages and broadcasts of all of them
 PROJECT_METRICS = {13: m13_mentions, 14: m14_diversity, 15: m15_citation_share}
 
 
@@ -267,7 +267,7 @@ def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = None
     for i in PAGE_METRICS:
         rows = done[i] if rows is None else rows.unionByName(done[i])
-    wide = P.documents(spark, sf_dir, "project_id").join(rows.groupBy("doc_id").agg(*[F.max(F.when(F.col("i") == i, F.col("score"))).alias(f"m{i}") for i in PAGE_METRICS]), "doc_id", "left")
+    wide = P.documents(spark, sf_dir, "project_id").join(rows.groupBy("doc_id").agg(*[F.max(F.when(F.col("i") == i, F.col("score"))).alias(f"m{i}") for i in PAGE_METRICS]).hint("merge"), "doc_id", "left")
     for i in [*PROJECT_METRICS, 16]:
         wide = wide.join(done[i], "project_id", "left")
     near = F.coalesce((F.col("m9") + F.col("m12")) / 2, "m9", "m12")

@@ -83,8 +83,8 @@ def priorities(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near the entity is the mean of those of metrics 9 and 12 that have a score."""
     dims = spark.createDataFrame([(i, w / 0.3, {1: 1.0, 2: 0.6, 3: 0.3}[e], W.EVIDENCE_STRENGTH[s]) for i, (_, _, w, s, e) in W.METRICS.items()], "metric_id int, impact double, ease double, sure double")
     value = F.create_map(*[F.lit(x) for kv in W.INTENT_VALUE.items() for x in kv])
-    worth = P.documents(spark, sf_dir, "project_id").join(P.primary_queries(spark, sf_dir).select("project_id", F.element_at(value, qf.detect_intent(F.col("query"), F.col("entity"))).alias("worth")), "project_id", "left").select("doc_id", F.coalesce("worth", F.lit(0.6)).alias("worth"))
-    near = rows.where("metric_id in (9, 12)").groupBy("doc_id").agg(F.avg("score").alias("near"))
+    worth = P.documents(spark, sf_dir, "project_id").join(P.primary_queries(spark, sf_dir).select("project_id", F.element_at(value, qf.detect_intent(F.col("query"), F.col("entity"))).alias("worth")), "project_id", "left").select("doc_id", F.coalesce("worth", F.lit(0.6)).alias("worth")).hint("merge")
+    near = rows.where("metric_id in (9, 12)").groupBy("doc_id").agg(F.avg("score").alias("near")).hint("merge")  # a row a page, so never broadcast
     x = rows.where(F.col("score") < W.THRESHOLD).join(F.broadcast(dims), "metric_id").join(worth, "doc_id").join(near, "doc_id", "left")
     w = W.PRIORITY
     p = w["weakness"] * (100 - F.col("score")) / 100 + w["impact"] * F.col("impact") + w["query"] * F.col("worth") + w["entity"] * F.coalesce("near", F.lit(50.0)) / 100 + w["effort"] * F.col("ease") + w["evidence"] * F.col("sure")

@@ -51,3 +51,48 @@ def test_scores_broadcast_no_pages(spark, sf_dir, metrics, monkeypatch, name):
     rows, found = metrics
     monkeypatch.setattr(A, "metric_rows", lambda *_: rows)
     assert found | staged_and_broadcast(entry.queries()[name](spark, sf_dir)) <= {"facets", "metric"}
+
+
+def similarities_and_answers_broadcast(df):
+    """Joins by page or answer that broadcast similarities, answers or metrics: these have as many rows as there are pages or answers, whatever their files' size."""
+    found = []
+
+    def walk(node):
+        if node.nodeName().startswith("BroadcastHashJoin"):
+            side = (node.left() if node.buildSide().toString() == "BuildLeft" else node.right()).toString()
+            keys = node.leftKeys().toString()
+            if re.search("doc_id|answer_id", keys) and re.search("MapInArrow|fx_answer|lumenpage-metric", side):
+                found.append(keys)
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().sparkPlan())
+    return found
+
+
+@pytest.fixture(scope="module")
+def joined(spark, sf_dir):
+    """The rows of all metrics, what is broadcast by page or answer on the way to them, and the most tables that were staged at a time."""
+    found, now, most, stage = [], [], [0], A.stage
+
+    def watched(df, name):
+        found.extend(similarities_and_answers_broadcast(df))
+        now.append(name)
+        most[0] = max(most[0], len(now))
+        try:
+            return stage(df, name)
+        finally:
+            now.pop()
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(A, "stage", watched)
+        rows = A.metric_rows(spark, sf_dir)
+    return rows, found, most[0]
+
+
+@pytest.mark.parametrize("name", ["k5_extremes"])
+def test_driver_holds_few_metrics(spark, sf_dir, joined, monkeypatch, name):
+    rows, found, most = joined
+    monkeypatch.setattr(A, "metric_rows", lambda *_: rows)
+    assert found + similarities_and_answers_broadcast(entry.queries()[name](spark, sf_dir)) == []
+    assert most <= 3
