@@ -90,7 +90,7 @@ def joined(spark, sf_dir):
     return rows, found, most[0]
 
 
-@pytest.mark.parametrize("name", ["k5_extremes", "o2_report_lines", "k3_gaps", "o2_json"])
+@pytest.mark.parametrize("name", ["k5_extremes", "o2_report_lines", "k3_gaps", "o2_json", "k6_action_plan"])
 def test_driver_holds_few_metrics(spark, sf_dir, joined, monkeypatch, name):
     rows, found, most = joined
     monkeypatch.setattr(A, "metric_rows", lambda *_: rows)
