@@ -17,7 +17,7 @@ from lumenpage.plans import entity_queries as E
 from lumenpage.plans import page_queries as P
 from lumenpage.plans import sql as S
 from lumenpage.plans.entity_queries import BLOCKS, ENT, sql_hit, sql_pattern
-from lumenpage.sources import read_table, stage
+from lumenpage.sources import read_table, release, stage
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -258,12 +258,21 @@ PROJECT_METRICS = {13: m13_mentions, 14: m14_diversity, 15: m15_citation_share}
 def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, metric_id, score) of all 16 metrics of every page: 13 to 15 are its project's, and 16 takes the page's own 9 and 12. The score is NULL
     where a metric has none; 4 never has one, since the tables hold no markup. Each metric is staged by itself, since one plan of them all would
-    outgrow the driver; several at a time, since each by itself leaves cores idle."""
+    outgrow the driver; several at a time, since each by itself leaves cores idle. What building and staging leave in the driver is freed each time."""
     jobs = {i: lambda i=i, f=f: f(spark, sf_dir).select("doc_id", F.lit(i).alias("i"), F.round("score", 1).alias("score")) for i, f in PAGE_METRICS.items()}
     jobs |= {i: lambda i=i, f=f: f(spark, sf_dir).select("project_id", F.round("score", 1).alias(f"m{i}")) for i, f in PROJECT_METRICS.items()}
     jobs[16] = lambda: project_worth(spark, sf_dir).drop("intent")
+
+    def staged(job):
+        df = job()
+        release(spark)
+        rows = stage(df, "metric")
+        del df
+        release(spark)
+        return rows
+
     with ThreadPoolExecutor(AT_ONCE) as pool:
-        done = dict(zip(jobs, pool.map(lambda job: stage(job(), "metric"), jobs.values())))
+        done = dict(zip(jobs, pool.map(staged, jobs.values())))
     rows = None
     for i in PAGE_METRICS:
         rows = done[i] if rows is None else rows.unionByName(done[i])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Free what finished queries leave: the driver keeps their plans, and their shuffle files and broadcasts stay, until it happens to collect its garbage."""
+    gc.collect()  # Python's references to plans first
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

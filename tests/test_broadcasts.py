@@ -96,3 +96,29 @@ def test_driver_holds_few_metrics(spark, sf_dir, joined, monkeypatch, name):
     monkeypatch.setattr(A, "metric_rows", lambda *_: rows)
     assert found + similarities_and_answers_broadcast(entry.queries()[name](spark, sf_dir)) == []
     assert most <= 3
+
+
+@pytest.mark.parametrize("name", ["o2_report_lines"])
+def test_finished_metrics_leave_no_plans(spark, sf_dir, monkeypatch, name):
+    """The driver's memory: few metrics are staged at a time, and the plans of those staged are gone when later ones begin."""
+    plans, now, most, held, stage = [], [], [0], [], A.stage
+    weak = spark.sparkContext._jvm.java.lang.ref.WeakReference
+
+    def watched(df, name):
+        now.append(name)
+        most[0] = max(most[0], len(now))
+        held.append(sum(r.get() is not None for r in plans))
+        try:
+            return stage(df, name)
+        finally:
+            plans.append(weak(df._jdf.queryExecution()))
+            now.pop()
+
+    page = lambda spark, sf_dir: A.P.documents(spark, sf_dir, "word_count").selectExpr("doc_id", "double(word_count) as score")
+    project = lambda spark, sf_dir: A.P.primary_queries(spark, sf_dir).selectExpr("project_id", "50D as score")
+    monkeypatch.setattr(A, "stage", watched)
+    monkeypatch.setattr(A, "PAGE_METRICS", dict.fromkeys(A.PAGE_METRICS, page))
+    monkeypatch.setattr(A, "PROJECT_METRICS", dict.fromkeys(A.PROJECT_METRICS, project))
+    monkeypatch.setattr(A, "project_worth", lambda spark, sf_dir: A.P.primary_queries(spark, sf_dir).selectExpr("project_id", "'a' as intent", "1D as worth", "1D as sources", "1D as prom"))
+    entry.queries()[name](spark, sf_dir)
+    assert most[0] <= 3 and len(held) == 16 and max(held) <= 3
