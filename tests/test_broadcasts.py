@@ -98,7 +98,7 @@ def test_driver_holds_few_metrics(spark, sf_dir, joined, monkeypatch, name):
     assert most <= 3
 
 
-@pytest.mark.parametrize("name", ["o2_report_lines", "k3_gaps", "k6_action_plan"])
+@pytest.mark.parametrize("name", ["o2_report_lines", "k3_gaps", "k6_action_plan", "o2_json"])
 def test_finished_metrics_leave_no_plans(spark, sf_dir, monkeypatch, name):
     """The driver's memory: few metrics are staged at a time, and the plans of those staged are gone when later ones begin."""
     plans, now, most, held, stage = [], [], [0], [], A.stage
