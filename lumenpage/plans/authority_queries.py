@@ -251,7 +251,7 @@ PAGE_METRICS = {
     1: P.m1_direct_answer, 2: P.m2_headings, 3: P.m3_chunkability, 5: P.m5_information_density, 6: P.m6_fact_density, 7: P.m7_attribution, 8: E.m8_coverage, 9: E.m9_presence, 10: E.m10_clarity,
     11: E.m11_relationships, 12: E.m12_relevance,
 }
-AT_ONCE = 3  # metrics staged at a time; the driver holds plans, stages and broadcasts of all of them
+AT_ONCE = 2  # metrics staged at a time; the driver holds plans, stages and broadcasts of all of them
 PROJECT_METRICS = {13: m13_mentions, 14: m14_diversity, 15: m15_citation_share}
 
 
@@ -282,7 +282,9 @@ def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = F.coalesce((F.col("m9") + F.col("m12")) / 2, "m9", "m12")
     wide = wide.withColumns({"m16": F.round(citation_value(near), 1), "m4": F.lit(None).cast("double")})
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("metric_id"), F.col(f"m{i}").alias("score")) for i in W.METRICS]))
-    return stage(wide.select("doc_id", each.alias("m")).select("doc_id", "m.metric_id", "m.score"), "metrics")
+    metrics = stage(wide.select("doc_id", each.alias("m")).select("doc_id", "m.metric_id", "m.score"), "metrics")
+    release(spark)
+    return metrics
 
 
 _pages = " UNION ALL ".join(f"SELECT doc_id, {i} AS i, round(score, 1) AS score FROM ({(E.SQL | P.SQL)[f.__name__]})" for i, f in PAGE_METRICS.items())

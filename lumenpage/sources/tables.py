@@ -44,8 +44,39 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Free what finished queries leave: the driver keeps their plans, and their shuffle files and broadcasts stay, until it happens to collect its garbage."""
+    try:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5000)  # events hold plans until they are read
+    except Exception:  # other queries' events keep coming
+        pass
     gc.collect()  # Python's references to plans first
+    queue = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None) or ()
+    for _ in range(len(queue)):  # a thread of py4j's lets go of these only once a second
+        try:
+            task = queue.pop()
+        except IndexError:
+            break
+        if not isinstance(task, tuple):  # the end of that thread
+            queue.appendleft(task)
+            break
+        task[0].garbage_collect_object(task[1], False)
     spark.sparkContext._jvm.System.gc()
+    trim_native(spark)
+
+
+def trim_native(spark: SparkSession) -> str:
+    """Give back to the system what the C library of the driver's JVM keeps of freed native memory, such as the compiler's, which no limit of the heap bounds;
+    what the JVM says of it, '' where it can't."""
+    try:
+        jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+        of = jvm.java.lang.Class.forName
+        kinds, args = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = of(kind)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, args)  # the server's own class is not open to calls
+    except Exception:  # an older JVM, or another C library
+        return ""
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -6,6 +6,7 @@ import __spark_entry__ as entry
 import pytest
 from lumenpage.plans import authority_queries as A
 from lumenpage.plans import entity_queries as E
+from lumenpage.sources import tables
 
 
 def staged_and_broadcast(df):
@@ -122,3 +123,27 @@ def test_finished_metrics_leave_no_plans(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(A, "project_worth", lambda spark, sf_dir: A.P.primary_queries(spark, sf_dir).selectExpr("project_id", "'a' as intent", "1D as worth", "1D as sources", "1D as prom"))
     entry.queries()[name](spark, sf_dir)
     assert most[0] <= 3 and len(held) == 16 and max(held) <= 3
+
+
+@pytest.mark.parametrize("name", ["k3_gaps"])
+def test_native_memory_is_given_back(spark, sf_dir, monkeypatch, name):
+    """The driver's memory beyond its heap: two metrics at most are staged at a time, and freed native memory goes back to the system before and after each and after their union."""
+    now, most, said, stage, trim = [], [0], [], A.stage, tables.trim_native
+
+    def watched(df, name):
+        now.append(name)
+        most[0] = max(most[0], len(now))
+        try:
+            return stage(df, name)
+        finally:
+            now.pop()
+
+    page = lambda spark, sf_dir: A.P.documents(spark, sf_dir, "word_count").selectExpr("doc_id", "double(word_count) as score")
+    project = lambda spark, sf_dir: A.P.primary_queries(spark, sf_dir).selectExpr("project_id", "50D as score")
+    monkeypatch.setattr(A, "stage", watched)
+    monkeypatch.setattr(tables, "trim_native", lambda spark: said.append(trim(spark)))
+    monkeypatch.setattr(A, "PAGE_METRICS", dict.fromkeys(A.PAGE_METRICS, page))
+    monkeypatch.setattr(A, "PROJECT_METRICS", dict.fromkeys(A.PROJECT_METRICS, project))
+    monkeypatch.setattr(A, "project_worth", lambda spark, sf_dir: A.P.primary_queries(spark, sf_dir).selectExpr("project_id", "'a' as intent", "1D as worth", "1D as sources", "1D as prom"))
+    entry.queries()[name](spark, sf_dir)
+    assert most[0] <= 2 and len(said) == 31 and all("native heap" in x for x in said)
