@@ -125,7 +125,7 @@ def test_finished_metrics_leave_no_plans(spark, sf_dir, monkeypatch, name):
     assert most[0] <= 3 and len(held) == 16 and max(held) <= 3
 
 
-@pytest.mark.parametrize("name", ["k3_gaps", "k6_action_plan"])
+@pytest.mark.parametrize("name", ["k3_gaps", "k6_action_plan", "o2_json"])
 def test_native_memory_is_given_back(spark, sf_dir, monkeypatch, name):
     """The driver's memory beyond its heap: two metrics at most are staged at a time, and freed native memory goes back to the system before and after each and after their union."""
     now, most, said, stage, trim = [], [0], [], A.stage, tables.trim_native
